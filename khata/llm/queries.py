@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from khata.llm import copies, garble, glyphs, packing, quality, tokens
+from khata.llm import copies, garble, glyphs, langid, leaks, packing, quality, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    model = langid.train(table(spark, folder, "lang_samples"))
+    return langid.mislabelled(table(spark, folder, "documents"), model).select("doc_id", "lang")
+
+
+def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
+    model = langid.train(table(spark, folder, "lang_samples"))
+    return langid.segments(table(spark, folder, "documents"), model)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return glyphs.same_looking_pairs(table(spark, folder, "documents"))
 
@@ -29,6 +39,18 @@ def p3_stats(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_stats(table(spark, folder, "documents"))
 
 
+def _held_out(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "sentnob").where("split in ('validation', 'test')")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked(table(spark, folder, "documents"), _held_out(spark, folder))
+
+
+def p4_alignments(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.alignments(table(spark, folder, "documents"), _held_out(spark, folder))
+
+
 def p5_budget(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_budget(table(spark, folder, "documents"), table(spark, folder, "sources"))
 
@@ -65,9 +87,22 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p2_found, p2_canonical, p3_found, p3_stats, p5_budget, p5_doc_tokens, p6_found, p6_collapsed, p7_ids, p8_packed, p9_found, p9_restored)
+        for f in (p1_found, p1_segments, p2_found, p2_canonical, p3_found, p3_stats, p4_found, p4_alignments, p5_budget, p5_doc_tokens, p6_found, p6_collapsed, p7_ids, p8_packed, p9_found, p9_restored)
     }
 
 
+#: A value without white space, punctuation and letter case.
+_CANONICAL = r"lower(regexp_replace({}, '[\p{{P}}\p{{Z}}\t-\r\x1c-\x20\x{{85}}]+', '', 'g'))"
+_JSON = "CASE WHEN json_valid(raw) AND regexp_matches(raw, '^\\s*\\{{') THEN raw->>'{}' END"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    text, source = _CANONICAL.format("text"), _CANONICAL.format("source")
+    of_docs = f"SELECT 'documents' AS tab, doc_id AS id, {text} AS t, {source} AS s FROM documents"
+    read = f"SELECT line_id, {_JSON.format('text')} AS text, {_JSON.format('source')} AS source FROM raw_lines"
+    of_lines = f"SELECT 'raw_lines' AS tab, line_id AS id, {text} AS t, {source} AS s FROM ({read})"
+    kept = f"SELECT *, min(id) OVER (PARTITION BY tab, t, s) AS keep_id FROM ({of_docs} UNION ALL {of_lines}) WHERE t <> ''"
+    return {
+        "p6_found": f"SELECT tab, keep_id, id AS copy_id FROM ({kept}) WHERE id <> keep_id",
+        "p6_collapsed": f"SELECT min(id) AS doc_id, count(*) AS n_copies FROM ({of_docs}) WHERE t <> '' GROUP BY t, s",
+    }
