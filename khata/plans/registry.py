@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from khata.plans import documents, failures, packing, pairs, scores
+
+PARTS = (documents.R, pairs.R, failures.R, packing.R, scores.R)
+
+
+def queries() -> dict[str, Callable]:
+    return {name: query for part in PARTS for name, query in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.sql.items()}
