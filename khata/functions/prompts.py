@@ -27,7 +27,7 @@ def filled(template: str, **fields: str | Column) -> Column:
 
 def cleaned_article(text: str | Column, least: int = 40, markup: str = "|") -> Column:
     """A text's lines of at least `least` signs that begin with no markup, joined by spaces."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: (F.length(x) >= least) & ~x.startswith(markup)), " ")
 
 

