@@ -155,7 +155,7 @@ def _frequencies(batch: pa.RecordBatch, grams: np.ndarray, memo: Numbers) -> Ite
 
 
 def seeds_of(items: Items, frequency: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-    """Fingerprint -> (item, place): of each window of PASSAGE words the rarest n-gram, the first of equal ones; of a shorter item its rarest."""
+    """Fingerprint -> (item, place): of each window of PASSAGE words the rarest n-gram that the corpus has, the first of equal ones; of a shorter item its rarest. A window that stands in a document has all its n-grams there, so none is missed."""
     out: dict[int, set[tuple[int, int]]] = {}
     for k, words in enumerate(items.words):
         own = hashes(words, SEED)
@@ -163,7 +163,7 @@ def seeds_of(items: Items, frequency: dict[int, int]) -> dict[int, list[tuple[in
         span = PASSAGE - SEED + 1
         for start in range(max(1, len(own) - span + 1)):
             window = range(start, min(start + span, len(own)))
-            best = min(window, key=lambda i: (often[i], i))
+            best = min(window, key=lambda i: (not often[i], often[i], i))
             out.setdefault(int(own[best]), set()).add((k, best))
     return {h: sorted(places) for h, places in out.items()}
 

@@ -35,6 +35,7 @@ DIGITS = re.compile(r"[0-9০-৯०-९]")
 #: Shapes of lines that are no sentences, with the reason each is recorded under.
 SHAPES = (
     ("links", re.compile(r"\S*(?:https?://|www\.|ftp://)\S+$")),
+    ("codes", re.compile(r"(?=\S*[0-9])(?=\S*[A-Za-z])[0-9A-Za-z+/=_-]{24,}$")),
     ("log", re.compile(r"\d{4}-\d\d-\d\d[ T]\d\d:\d\d|.*\w=\S+.*\w=\S")),
     ("table", re.compile(r"\||.*\S\s*\|.*\|\s*|.*\t.*\t|.*\S {3,}\S.*[0-9০-৯०-९]|[^,;]*[,;]\S[^,;]*[,;]\S|[-=+|: ]{5,}$")),
     ("contents", re.compile(r".*(?:\.|…| \.){4,}\s*[0-9০-৯०-९]+$")),
@@ -42,6 +43,8 @@ SHAPES = (
     ("pairs", re.compile(r"[^:]{1,60}:\s+[^:]{1,60}$")),
     ("amounts", re.compile(r"[0-9০-৯०-९.,]+\s+\S+(?:\s+\S+){0,6}$")),
 )
+#: A rule between rows, and an identifier standing alone.
+RULE = re.compile(r"[|+][-=+|: ]{2,}$")
 #: Lines of at least so many words are judged by themselves, shorter ones together with their neighbours.
 LONG = 8
 #: Least share of clause words in prose, and the most that a shape may have.
@@ -102,7 +105,7 @@ class Page:
 
     def _reason(self, s: str, n: int, c: int, firm: int, end: bool) -> str | None:
         if not n:
-            return "signs" if len(s) > 3 else None
+            return "table" if RULE.match(s) else "signs" if len(s) > 3 else None
         mark = MARK.match(s)
         if mark:
             self.marked += 1
