@@ -9,10 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: White space: what a Unicode-aware split() splits on. Java's \s knows ASCII only.
-SPACE_SIGNS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACES = f"[{SPACE_SIGNS}]+"
-WORD = f"[^{SPACE_SIGNS}]+"
+#: White space: what a Unicode-aware split() splits on, as signs and as a pattern. Java's \s knows ASCII only, with (?U) all but U+001C to U+001F.
+SPACE_SIGNS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACES = r"(?U)[\s\x1c-\x1f]+"
+WORD = r"(?U)[^\s\x1c-\x1f]+"
 
 # The control tokens of the text format.
 BN, EN = "<|lang_bn|>", "<|lang_en|>"
@@ -25,6 +25,9 @@ def _nfc(text: pa.Array) -> pa.Array:
     return pa.array([t if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
 
 
+_nfc = _nfc.asNondeterministic()  # else the optimizer copies it into filters and calls it once for each copy
+
+
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -38,7 +41,7 @@ def nfc(c: str | Column) -> Column:
 
 def strip(c: str | Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(_col(c), f"^{SPACES}|{SPACES}$", "")
+    return F.btrim(_col(c), F.lit(SPACE_SIGNS))
 
 
 def collapse(c: str | Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from khata.functions.text import normalize_text
+from khata.session import written
 
 
 def digest(text: str | Column, normalized: bool) -> Column:
@@ -19,7 +20,7 @@ def digest(text: str | Column, normalized: bool) -> Column:
 
 def marked(docs: DataFrame, key: Column, order: str = "doc_id", source: str = "source", priority: str = "priority") -> DataFrame:
     """(order, source, priority, kept, absorber): whether each row survives and the source that its digest survives in. Rows with a null key are left out."""
-    own = docs.select(order, source, priority, key.alias("_h")).where("_h IS NOT NULL")
+    own = written(docs.select(order, source, priority, key.alias("_h")).where("_h IS NOT NULL"), "digests")  # read twice
     first = own.groupBy("_h").agg(F.min(F.struct(priority, order, source)).alias("_first"))
     return own.join(first, "_h").select(order, source, priority, (F.col(order) == F.col(f"_first.{order}")).alias("kept"), F.col(f"_first.{source}").alias("absorber"))
 

@@ -15,7 +15,7 @@ POLICIES = ("drop", "keep_original", "error", "collect", "drop_and_collect")
 
 
 def cleaned(word: Column) -> Column:
-    """A word without joiners that follow no virama, and without doubled viramas; nuktas in composed letters."""
+    """A text without joiners that follow no virama, and without doubled viramas; nuktas in composed letters."""
     word = F.regexp_replace(word, "(^|[^\u09cd])[\u200c\u200d]+", "$1")
     word = F.regexp_replace(word, "\u09cd{2,}", "\u09cd")
     for parts, whole in (("\u09af\u09bc", "\u09df"), ("\u09a1\u09bc", "\u09dc"), ("\u09a2\u09bc", "\u09dd")):
@@ -32,17 +32,16 @@ def fails(word: Column, allow_english: bool = True) -> Column:
 def normalize_words(text: str | Column, policy: str = "drop", allow_english: bool = True) -> Column:
     """struct<text, failed array<struct<pos, token>>> of a text's words.
 
-    drop leaves failed words out, keep_original and collect keep them, error stops the
-    query; the collecting policies list them with their place (from 0). A null text
+    Words are cleaned first. drop leaves failed words out, keep_original and collect keep
+    them, error stops the query; the collecting policies list them with their place (from 0). A null text
     gives null.
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy!r}; one of {', '.join(POLICIES)}")
-    own = words(nfc(text))
-    numbered = F.transform(own, lambda w, i: F.struct(i.alias("pos"), w.alias("token")))
-    failed = F.filter(numbered, lambda x: fails(x["token"], allow_english))
+    own = words(cleaned(nfc(text)))
+    failed = F.filter(F.transform(own, lambda w, i: F.struct(i.alias("pos"), w.alias("token"))), lambda x: fails(x["token"], allow_english))
     kept = own if policy in ("keep_original", "collect") else F.filter(own, lambda w: ~fails(w, allow_english))
-    done = F.array_join(F.transform(kept, lambda w: F.when(fails(w, allow_english), w).otherwise(cleaned(w))), " ")
+    done = F.array_join(kept, " ")
     if policy == "error":
         done = F.when(F.size(failed) > 0, F.raise_error(F.concat(F.lit("not normalizable: "), F.element_at(failed, 1)["token"]))).otherwise(done)
     listed = failed if policy in ("collect", "drop_and_collect") else F.filter(failed, lambda x: F.lit(False))
@@ -59,7 +58,7 @@ def region_gated(docs: DataFrame, policy: str = "drop_and_collect") -> DataFrame
 def normalize_segments(text: str | Column) -> Column:
     """struct<text, failed>: only what follows a Bangla tag is normalized; failed words are dropped and listed by segment order."""
     parts = F.transform(segments(text), lambda s: F.struct(s["tag"].alias("tag"), s["body"].alias("body"), F.filter(F.when(s["tag"] == BN, words(s["body"])).otherwise(F.array().cast("array<string>")), lambda w: fails(w)).alias("bad")))
-    clean = F.transform(parts, lambda s: F.concat(s["tag"], F.when(s["tag"] == BN, F.array_join(F.transform(F.filter(words(s["body"]), lambda w: ~fails(w)), cleaned), " ")).otherwise(s["body"])))
+    clean = F.transform(parts, lambda s: F.concat(s["tag"], F.when(s["tag"] == BN, F.array_join(F.filter(words(cleaned(s["body"])), lambda w: ~fails(w)), " ")).otherwise(s["body"])))
     return F.struct(F.array_join(clean, "").alias("text"), F.flatten(F.transform(parts, lambda s: s["bad"])).alias("failed"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -70,24 +71,36 @@ def entity_f1(df: DataFrame, keys: list[str], truth: str, guess: str) -> DataFra
     return all_.select(share("hits", "guesses").alias("precision"), share("hits", "truths").alias("recall"), f1.alias("f1"))
 
 
-def _ngrams(tokens: Column, n: int) -> Column:
-    size = F.size(tokens)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), "\x01"))).otherwise(F.array().cast("array<string>"))
+def _counts(most: int):
+    """For each pair of token lists and each n up to `most`: clipped matches, n-grams of the one and of the other, one after another."""
 
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def count(a, b):
+        import pandas as pd
 
-def ngram_matches(df: DataFrame, key: str, guess: Column, truth: Column, orders: range) -> DataFrame:
-    """(key, n, matches, guesses, truths): clipped matches and numbers of n-grams of each pair, for each n. Runs without a join: both sides' n-grams are counted together."""
-    sides = F.array(F.struct(F.lit(0).alias("side"), guess.alias("t")), F.struct(F.lit(1).alias("side"), truth.alias("t")))
-    each = df.select(key, F.explode(sides).alias("s")).select(key, "s.side", "s.t")
-    grams = F.array(*(F.struct(F.lit(n).alias("n"), _ngrams(F.col("t"), n).alias("g")) for n in orders))
-    long = each.select(key, "side", F.explode(grams).alias("x")).select(key, "side", "x.n", F.explode("x.g").alias("gram"))
-    counts = long.groupBy(key, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    return counts.groupBy(key, "n").agg(F.sum(F.least("a", "b")).alias("matches"), F.sum("a").alias("guesses"), F.sum("b").alias("truths"))
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = ([] if v is None else list(v) for v in (x, y))
+            row = []
+            for n in range(1, most + 1):
+                u, v = (Counter(zip(*(z[k:] for k in range(n)))) for z in (x, y))
+                row += [(u & v).total(), u.total(), v.total()]
+            out.append(row)
+        return pd.Series(out)
+
+    return count
+
+
+def ngram_matches(df: DataFrame, key: str, guess: Column, truth: Column, most: int) -> DataFrame:
+    """(key, n, matches, guesses, truths): clipped matches and numbers of n-grams of each pair, for n from 1 to `most`. A pair is counted where it lies; its n-grams are never shuffled."""
+    counted = df.select(key, _counts(most)(guess, truth).alias("c"))
+    each = F.array(*(F.struct(F.lit(n).alias("n"), *(F.get("c", F.lit(3 * (n - 1) + k)).alias(name) for k, name in enumerate(("matches", "guesses", "truths")))) for n in range(1, most + 1)))
+    return counted.select(key, F.explode(each).alias("x")).select(key, "x.*")
 
 
 def bleu(df: DataFrame, key: str, guess: str, truth: str, most: int = 4) -> DataFrame:
     """One row: corpus BLEU on white-space words (0-100), brevity penalty and the sides' lengths; 0 if an order has no match."""
-    n = ngram_matches(df, key, words(guess), words(truth), range(1, most + 1)).groupBy("n").agg(F.sum("matches").alias("m"), F.sum("guesses").alias("g"), F.sum("truths").alias("t"))
+    n = ngram_matches(df, key, words(guess), words(truth), most).groupBy("n").agg(F.sum("matches").alias("m"), F.sum("guesses").alias("g"), F.sum("truths").alias("t"))
     one = n.agg(
         F.sum(F.when((F.col("m") > 0) & (F.col("g") > 0), F.log(F.col("m").cast("double") / F.col("g")))).alias("logs"),
         F.count_if(F.col("m") > 0).alias("orders"),
@@ -102,7 +115,7 @@ def bleu(df: DataFrame, key: str, guess: str, truth: str, most: int = 4) -> Data
 def chrf(df: DataFrame, key: str, guess: str, truth: str, most: int = 6, beta: float = 2.0) -> DataFrame:
     """One row: corpus chrF (0-100) on letters without white space, mean of precision and of recall over the orders."""
     signs = lambda c: F.filter(F.split(F.regexp_replace(c, r"\s+", ""), ""), lambda x: x != "")
-    n = ngram_matches(df, key, signs(guess), signs(truth), range(1, most + 1)).groupBy("n").agg(F.sum("matches").alias("m"), F.sum("guesses").alias("g"), F.sum("truths").alias("t"))
+    n = ngram_matches(df, key, signs(guess), signs(truth), most).groupBy("n").agg(F.sum("matches").alias("m"), F.sum("guesses").alias("g"), F.sum("truths").alias("t"))
     ok = n.where("g > 0 AND t > 0").agg(F.avg(F.col("m").cast("double") / F.col("g")).alias("p"), F.avg(F.col("m").cast("double") / F.col("t")).alias("r"))
     f = F.coalesce((1 + beta**2) * F.col("p") * F.col("r") / F.nullif(beta**2 * F.col("p") + F.col("r"), F.lit(0.0)), F.lit(0.0))
     return ok.select((F.lit(100.0) * f).alias("chrf"))
@@ -135,7 +148,7 @@ def rouge(df: DataFrame, key: str, guess: str, truth: str) -> DataFrame:
     g, t = words(F.lower(guess)), words(F.lower(truth))
     f = lambda m, a, b: F.coalesce(F.lit(2.0) * m / F.nullif(a + b, F.lit(0)), F.lit(0.0))
     both = df.where(F.col(guess).isNotNull() & F.col(truth).isNotNull())
-    n = ngram_matches(both, key, g, t, range(1, 3)).select(F.col("n").alias("kind"), f(F.col("matches"), F.col("guesses"), F.col("truths")).alias("f"))
+    n = ngram_matches(both, key, g, t, 2).select(F.col("n").alias("kind"), f(F.col("matches"), F.col("guesses"), F.col("truths")).alias("f"))
     longest = both.select(g.alias("g"), t.alias("t")).select(F.lit(0).alias("kind"), f(_common_length("g", "t"), F.size("g"), F.size("t")).alias("f"))
     sums = n.unionByName(longest).groupBy().agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("f"))), F.lit(0.0)).alias(name) for k, name in ((1, "a"), (2, "b"), (0, "l"))), F.greatest(F.count_if(F.col("kind") == 0), F.lit(1)).cast("double").alias("pairs"))
     return sums.select(*((F.col(x) / F.col("pairs")).alias(name) for x, name in (("a", "rouge1"), ("b", "rouge2"), ("l", "rouge_l"))))

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from khata.functions.text import BANDS, LAST_BAND
 from khata.operators import ingest
+from khata.session import balanced
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return balanced(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def sourced(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,13 +67,13 @@ def failures_of_documents(spark, folder):
     return log.join(table(spark, folder, "documents").select("doc_id", F.col("source").alias("name")), "doc_id").groupBy("name").agg(F.sum("n").alias("failures"), F.count(F.lit(1)).alias("docs"))
 
 
-_CLEAN = "replace(replace(replace(regexp_replace(regexp_replace(w, '(^|[^\\x{9cd}])[\\x{200c}\\x{200d}]+', '\\1', 'g'), '\\x{9cd}{2,}', '্', 'g'), 'য়', 'য়'), 'ড়', 'ড়'), 'ঢ়', 'ঢ়')"
+_CLEAN = "replace(replace(replace(regexp_replace(regexp_replace(nfc_normalize(text), '(^|[^\\x{9cd}])[\\x{200c}\\x{200d}]+', '\\1', 'g'), '\\x{9cd}{2,}', '্', 'g'), 'য়', 'য়'), 'ড়', 'ড়'), 'ঢ়', 'ঢ়')"
 _BAD = "(regexp_matches(w, '[\\x{980}-\\x{9ff}]') AND NOT regexp_matches(w, '[\\x{985}-\\x{9b9}\\x{9ce}\\x{9dc}-\\x{9df}\\x{9e0}\\x{9e1}\\x{9e6}-\\x{9f1}]'))"
-_WORDS = sql_words("nfc_normalize(text)")
+_WORDS = sql_words(_CLEAN)
 
 
 @R.add(
-    f"""SELECT doc_id, array_to_string([{_CLEAN} FOR w IN own IF NOT {_BAD}], ' ') AS text, CAST(len([w FOR w IN own IF {_BAD}]) AS INTEGER) AS failed FROM (SELECT doc_id, {_WORDS} AS own FROM documents WHERE text IS NOT NULL)"""
+    f"""SELECT doc_id, array_to_string([w FOR w IN own IF NOT {_BAD}], ' ') AS text, CAST(len([w FOR w IN own IF {_BAD}]) AS INTEGER) AS failed FROM (SELECT doc_id, {_WORDS} AS own FROM documents WHERE text IS NOT NULL)"""
 )
 def bn_normalize(spark, folder):
     own = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", N.normalize_words("text", "drop_and_collect").alias("n"))

@@ -36,6 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """`df` as read, or, where the files give fewer partitions than half the cores, spread over all of them.
+
+    That only ever moves tables of a few files; a large one has its partitions already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
