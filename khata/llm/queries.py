@@ -7,10 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from khata.llm import copies, garble, glyphs, langid, leaks, packing, quality, tokens
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+from khata.plans.common import table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
