@@ -152,7 +152,7 @@ def _ordered(points: np.ndarray, marks: np.ndarray) -> np.ndarray:
 def canonical_points(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the canonical forms, one after another, and where each text begins and ends (n + 1 offsets, a NUL after each)."""
     to, more, marks, consonant, _ = tables()
-    joined = "\0".join(t.replace("\0", "") if "\0" in t else t for t in many) + "\0"
+    joined = "\0".join(t.replace("\0", "") if "\0" in t else t for t in many).replace("\r\n", "\n") + "\0"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.int32)
     ends = points == 0
     points = to[points]

@@ -9,6 +9,7 @@ half of its characters lie in lines of the second sort.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +26,8 @@ WEAK = frozenset("about after all and are around as at at before between by down
 COMMON = frozenset(usual(w) for w in CLAUSE)
 FIRM = COMMON - frozenset(usual(w) for w in WEAK)
 #: What a word is rid of before it is looked up.
-EDGES = re.compile(r"^[^\w\u0900-\u0dff]+|[^\w\u0900-\u0dff]+$")
+_KEPT = r"[^\w\u0900-\u0963\u0966-\u096f\u0971-\u09f6\u09f8-\u0dff]+"
+EDGES = re.compile(f"^{_KEPT}|{_KEPT}$")
 #: Numbers of words, clause words and firm ones, packed into one integer so that a line needs one sum.
 ONE, CLAUSE_BIT, FIRM_BIT, MASK = 1, 1 << 20, 1 << 40, (1 << 20) - 1
 MARK = re.compile(r"(?:[•◦▪‣●○■□►▶➢✓✔★☆*–—→·+\-]+|\(?[0-9০-৯०-९]{1,4}[.)]|\(?[A-Za-zক-হ][.)])(?:\s+|$)")
@@ -147,10 +149,16 @@ class Page:
         self.chars[reason] = self.chars.get(reason, 0) + size
 
     def is_prose(self) -> bool:
+        """Whether at most half of the characters lie in lines that aren't prose."""
         total = sum(self.chars.values())
         return 2 * (total - self.chars.get("prose", 0)) <= total
 
 
+def has_content(text: str) -> bool:
+    """Whether a text has any letter, digit or symbol; one of punctuation only is neither prose nor junk."""
+    return any(unicodedata.category(c)[0] in "LNS" for c in text)
+
+
 STATS = "id BIGINT, words BIGINT, mean_word_length DOUBLE, symbol_ratio DOUBLE, lines BIGINT, share_ended DOUBLE, share_marked DOUBLE, share_common DOUBLE, share_prose DOUBLE, is_prose BOOLEAN, reasons ARRAY<STRING>"
 
 
@@ -165,7 +173,7 @@ def _stats(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         prose = page.chars.get("prose", 0)
         share = lambda a, b: a / b if b else None
         readable = words > 0
-        rows.append((i, words, share(size, words), share(len(SYMBOLS.findall(t)), len(t)), page.lines, share(page.ended, page.lines), share(page.marked, page.lines), share(page.common, words), share(prose, total), page.is_prose() if readable or total else None, sorted(k for k in page.chars if k != "prose")))
+        rows.append((i, words, share(size, words), share(len(SYMBOLS.findall(t)), len(t)), page.lines, share(page.ended, page.lines), share(page.marked, page.lines), share(page.common, words), share(prose, total), page.is_prose() if (readable or total) and has_content(t) else None, sorted(k for k in page.chars if k != "prose")))
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), *[pa.float64()] * 4, pa.bool_(), pa.list_(pa.string())]
     names = [part.split()[0] for part in STATS.split(", ")]
     cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
@@ -184,7 +192,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _verdicts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     many = texts(batch.column(1))
-    out = [i for i, t in zip(batch.column(0).to_pylist(), prepared(many), strict=True) if t and not Page(t).is_prose()]
+    out = [i for i, t in zip(batch.column(0).to_pylist(), prepared(many), strict=True) if t and not Page(t).is_prose() and has_content(t)]
     yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
 
 

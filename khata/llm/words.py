@@ -18,10 +18,10 @@ HINDI = """
 अगर अपना अपनी अपने अब आज इस इसका इसके इसलिए इसी उन उनका उनकी उनके उनको उन्होंने उस उसका उसकी उसके उसने उसे एक और कब कभी कर करके करता करती करते करना करने करें कहा कहते का कि किया किसी की कुछ के को कोई कौन क्या क्यों क्योंकि गई गए गया चाहिए जब जहाँ जा जाता जाती जाते जाने जिस जो तक तब तो था थी थे दिया दी दो न नहीं ने पर पहले फिर बहुत बाद बीच भी में मैं यह यहाँ या ये रहा रही रहे लिए लिया लेकिन वह वहाँ वाले वे साथ से सकता सकते सब सभी हम हर ही हुआ हुई हुए है हैं हो होता होती होते होने
 """
 ASSAMESE = """
-অথচ অনেক অহা আছিল আছে আজি আকৌ আমাৰ আমি আৰু এ এই এইটো একেলগে এজন এটা এতিয়া এনেকুৱা ও ওচৰত ওপৰত কথা কৰা কৰি কৰিছে কৰিছিল কৰিব কৰে কাম কাৰণে কি কিন্তু কিবা কিয় কিয়নো কৈছে কোনো খাইছিল গম গৈছিল গৈছে চাই ছিল জন জনায় জমা তাত তাৰ তেওঁ তেওঁলোক তেতিয়া থকা থাকে দিছে দিনৰ দেখি ধৰি নহয় নাই নিব নিছে নে নোৱাৰিলেহেঁতেন পাইছিল পাইছে পাছত পৰা বছৰ বছৰৰ বাবে বুলি ভাবে মতে মাজত মাজৰ মানুহ যদি যি যে যেতিয়া লগত লাগে লিখিছে লৈ সকলো সময়ত সি হৈ হৈছিল হৈছে হোৱা হব হ'ব
+অথচ অনেক অহা আছিল আছে আজি আকৌ আমাৰ আমি আৰু এ এই এইটো একেলগে এজন এটা এতিয়া এনেকুৱা ও ওচৰত ওপৰত কথা কৰা কৰি কৰিছে কৰিছিল কৰিব কৰে কাম কাৰণে কি কিন্তু কিবা কিয় কিয়নো কৈছে কোনো খাইছিল গম গৈছিল গৈছে চাই ছিল জন জনায় জমা তাত তাৰ তেওঁ তেওঁলোক তেতিয়া থকা থাকে দিছে দিনৰ দেখি ধৰি নহয় নাই নিব নিছে নে নোৱাৰিলেহেঁতেন পাইছিল পাইছে পাছত পৰা বছৰ বছৰৰ বাবে বুলি ভাবে মতে মাজত মাজৰ মানুহ যদি যি যে যেতিয়া লগত লাগে লিখিছে লৈ সকলো সময়ত সি হৈ হৈছিল হৈছে লৈছে পিছত প্ৰতি হোৱা হব হ'ব
 """
 ROMAN_BANGLA = """
-ache achen age amader amar ami ar asa ase asen babe bola bole bolen bochor bochr chara charche chele chere chilen chil chilo dhore diye diyeche diyechen e ei eke ekhn ekhon emn emon er et eti eto ebng ebong ge giyechilen giyeche gune hariye hisebe holo hoy hoye hoyeche hoyechil hoyechilo je jaccha jachche jache jan jana janay janiyeche jara jekhane jemon jn jodi jon jonno jonj jonyo kache kaj karon kemon ken keno khub khuje ki kichu kintu kore koren koreche korechen korte kothay krche kre kreche krechen krte ktha lage likhechen lok lokera manen manus manush mane modhje modhye mone na nei niye niyeche niyechen noy o onek oneke opor othoch para parot parto poer pore por pray proshn proshno prosno purono sathe somoy songge sotjii stjii sob sobai ta tader take tar tara tobe tokhn tokhon tumi theke thakot thakto je
+ache achen age amader amar ami ar asa ase asen babe bola bole bolen bochor bochr chara charche chele chere chilen chil chilo dhore diye diyeche diyechen e ei eke ekhn ekhon emn emon er et eti eto dekhe dekheche dike ebng ebong ge giyechilen giyeche gune hariye hisebe holo hoy hoye hoyeche hoyechil hoyechilo je jaccha jachche jache jan jana janay janiyeche jara jekhane jemon jn jodi jon jonno jonj jonyo kache kaj karon kemon ken keno khub khuje ki kichu kintu kore koren koreche korechen korte kothay krche kre kreche krechen krte ktha lage likhechen lok lokera manen manus manush mane modhje modhye mone na nei niye niyeche niyechen noy o onek oneke opor othoch para parot parto poer pore por pray prothom proshn proshno prosno purono sathe somoy songge sotjii stjii sob sobai ta tader take tar tara tobe tokhn tokhon tumi theke thakot thakto je
 """
 
 CLAUSE = frozenset(w for many in (BANGLA, ENGLISH, HINDI, ASSAMESE, ROMAN_BANGLA) for w in many.split())

@@ -48,6 +48,10 @@ def test_junk(text):
     assert not quality.Page(prepared([f"{text}\n{EN[:40]}"])[0]).chars.keys() <= {"prose"}
 
 
+def test_punctuation_only_is_no_case(documents):
+    assert quality.not_prose(documents(["!!!!!!", "-----\n....", "%%%% +++= <>|"])).collect() == [(3,)]
+
+
 def test_half_decides():
     row = "tea\t12\t13\t14\n"
     assert quality.Page(EN + "\n" + row * 2).is_prose()
