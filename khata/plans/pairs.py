@@ -59,9 +59,9 @@ def pair_words(spark, folder):
     return ingest.mirrored(_deduped(spark, folder)).groupBy("source", "direction").agg(F.count(F.lit(1)).alias("docs"), F.sum("word_count").alias("words"))
 
 
-@R.add("SELECT source, max(score) AS best, avg(score) AS mean, count(*) FILTER (score >= CAST(1.06 AS DOUBLE)) AS passing, count(*) FILTER (score IS NULL) AS unscored FROM parallel_pairs GROUP BY source")
+@R.add("SELECT source, max(score) AS best, round(avg(score), 8) AS mean, count(*) FILTER (score >= CAST(1.06 AS DOUBLE)) AS passing, count(*) FILTER (score IS NULL) AS unscored FROM parallel_pairs GROUP BY source")
 def pair_scores(spark, folder):
-    return table(spark, folder, "parallel_pairs").groupBy("source").agg(F.max("score").alias("best"), F.avg("score").alias("mean"), F.count_if(F.col("score") >= ingest.MIN_SCORE).alias("passing"), F.count_if(F.col("score").isNull()).alias("unscored"))
+    return table(spark, folder, "parallel_pairs").groupBy("source").agg(F.max("score").alias("best"), F.round(F.avg("score"), 8).alias("mean"), F.count_if(F.col("score") >= ingest.MIN_SCORE).alias("passing"), F.count_if(F.col("score").isNull()).alias("unscored"))
 
 
 @R.add("SELECT pair_id AS ord, bn, en FROM (SELECT pair_id, bn FROM parallel_pairs) JOIN (SELECT pair_id, en FROM parallel_pairs) USING (pair_id)")

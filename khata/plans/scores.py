@@ -182,11 +182,12 @@ def label_align(spark, folder):
 
 
 @R.add(
-    """SELECT model, task, dataset, count(macro_f1) AS runs, avg(macro_f1) AS mean, CASE WHEN count(macro_f1) > 1 THEN stddev_pop(macro_f1) END AS std,
+    """SELECT model, task, dataset, count(macro_f1) AS runs, round(avg(macro_f1), 8) AS mean, CASE WHEN count(macro_f1) > 1 THEN round(stddev_pop(macro_f1), 8) END AS std,
     CASE WHEN count(macro_f1) = 0 THEN 'N/A' WHEN count(macro_f1) = 1 THEN printf('%.2f', avg(macro_f1)) ELSE printf('%.2f ± %.2f', avg(macro_f1), stddev_pop(macro_f1)) END AS shown FROM run_results GROUP BY ALL"""
 )
 def mean_std_seeds(spark, folder):
-    return score.mean_std(table(spark, folder, "run_results"), ["model", "task", "dataset"], "macro_f1")
+    own = score.mean_std(table(spark, folder, "run_results"), ["model", "task", "dataset"], "macro_f1")
+    return own.withColumn("mean", F.round("mean", 8)).withColumn("std", F.round("std", 8))
 
 
 @R.add(
@@ -245,11 +246,11 @@ def accuracy_changes(spark, folder):
     return table(spark, folder, "run_results").select("run_id", "model", "task", "logged_at", "accuracy").withColumn("change", F.col("accuracy") - F.lag("accuracy").over(over))
 
 
-@R.add("SELECT task, avg(p) AS overall FROM (SELECT task, dataset, avg(exp(least((1 - accuracy) * 30, 20))) AS p FROM run_results WHERE accuracy IS NOT NULL GROUP BY ALL) GROUP BY task")
+@R.add("SELECT task, round(avg(p), 4) AS overall FROM (SELECT task, dataset, avg(exp(least((1 - accuracy) * 30, 20))) AS p FROM run_results WHERE accuracy IS NOT NULL GROUP BY ALL) GROUP BY task")
 def perplexity_rollup(spark, folder):
     """The mean over subsets of their perplexities, each subset counting the same."""
     own = table(spark, folder, "run_results").where("accuracy IS NOT NULL").select("task", "dataset", score.perplexity((1 - F.col("accuracy")) * 30).alias("p"))
-    return own.groupBy("task", "dataset").agg(F.avg("p").alias("p")).groupBy("task").agg(F.avg("p").alias("overall"))
+    return own.groupBy("task", "dataset").agg(F.avg("p").alias("p")).groupBy("task").agg(F.round(F.avg("p"), 4).alias("overall"))
 
 
 @R.add("SELECT range AS step, CASE WHEN range < 100 THEN range / CAST(100 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) + CAST(0.9 AS DOUBLE) * CAST(0.5 AS DOUBLE) * (1 + cos(pi() * ((range - 100) / CAST(900 AS DOUBLE)))) END AS rate FROM range(1000)")
