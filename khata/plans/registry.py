@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from khata.plans import documents, failures, packing, pairs, scores, streams
+from khata.plans import documents, failures, packing, pairs, scores, small, streams
 
-PARTS = (documents.R, pairs.R, failures.R, packing.R, scores.R, streams.R)
+PARTS = (documents.R, pairs.R, failures.R, packing.R, scores.R, small.R, streams.R)
 
 
 def queries() -> dict[str, Callable]:
