@@ -1,11 +1,12 @@
 """Problem 6: duplicates hidden by formatting differences.
 
 Columns are dictionary-encoded. Of a column with few distinct values each distinct
-value is canonicalised once and joined back; the values of a near-unique column such
-as a text are canonicalised where they lie, since a dictionary of them would be as
-large as the table. Integer identifiers are two 64-bit hashes of the canonical value,
-so they need no coordination between tasks. A record becomes the sorted tuple of its
-(field, identifier) integers, and only tuples and record ids travel.
+value is canonicalised once; the dictionary is broadcast once its size is checked.
+The values of a near-unique column such as a text are canonicalised where they lie,
+since a dictionary of them would be as large as the table. Integer identifiers are two
+64-bit hashes of the canonical value, so they need no coordination between tasks and
+are the same by either way. A record becomes the sorted tuple of its (field,
+identifier) integers, and only tuples and record ids travel.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from khata.session import written
 
+#: A dictionary of more values than this, or of longer ones, is not broadcast; its column is canonicalised where it lies.
+MOST_VALUES, LONGEST_VALUE = 20_000, 1_000
 #: Unicode white space (with U+001C to U+001F) and punctuation.
 LOOSE = r"[\p{P}\p{Z}\t-\r\x1c-\x20\x85]+"
 
@@ -26,7 +29,8 @@ def canonical(col: str | Column) -> Column:
 
 def identifier(col: str | Column) -> Column:
     """Two 64-bit integers for a value; null has its own."""
-    return F.struct(F.xxhash64(F.lit(1), col).alias("hi"), F.xxhash64(F.lit(2), col, F.col(col).isNull() if isinstance(col, str) else col.isNull()).alias("lo"))
+    own = F.col(col) if isinstance(col, str) else col
+    return F.struct(F.xxhash64(F.lit(1), col).alias("hi"), F.xxhash64(F.lit(2), col, own.isNull()).alias("lo"))
 
 
 def _tuple(fields: list[str]) -> Column:
@@ -34,6 +38,15 @@ def _tuple(fields: list[str]) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("field"), F.col(f"_{k}.hi").alias("hi"), F.col(f"_{k}.lo").alias("lo")) for k in range(len(fields))))
 
 
+def _dictionary(records: DataFrame, value: str, k: int) -> DataFrame | None:
+    """The identifier of each distinct value; None if there are too many for a broadcast."""
+    values = written(records.groupBy(F.col(value).alias(f"d{k}")).agg(F.max(F.length(value)).alias("n")), "values")
+    size = values.agg(F.count(F.lit(1)).alias("values"), F.coalesce(F.max("n"), F.lit(0)).alias("longest")).first()
+    if size["values"] > MOST_VALUES or size["longest"] > LONGEST_VALUE:
+        return None
+    return values.select(f"d{k}", identifier(canonical(f"d{k}")).alias(f"_{k}"))
+
+
 def encoded(records: DataFrame, id_col: str, fields: dict[str, bool], text: str | None = None) -> DataFrame:
     """(id, key): every record as its integer tuple.
 
@@ -43,10 +56,9 @@ def encoded(records: DataFrame, id_col: str, fields: dict[str, bool], text: str
     names = sorted(fields)
     out = records.select(F.col(id_col).alias("id"), *(F.col(f"`{f}`").alias(f"v{k}") for k, f in enumerate(names)))
     for k, f in enumerate(names):
-        if fields[f]:
-            values = out.select(f"v{k}").distinct()
-            dictionary = values.select(F.col(f"v{k}").alias(f"d{k}"), canonical(f"v{k}").alias("c")).select(f"d{k}", identifier("c").alias(f"_{k}"))
-            out = out.join(dictionary, F.col(f"v{k}").eqNullSafe(F.col(f"d{k}")), "left").drop(f"v{k}", f"d{k}")
+        dictionary = _dictionary(out, f"v{k}", k) if fields[f] else None
+        if dictionary is not None:
+            out = out.join(F.broadcast(dictionary), F.col(f"v{k}").eqNullSafe(F.col(f"d{k}")), "left").drop(f"v{k}", f"d{k}")
         else:
             out = out.withColumn("c", canonical(f"v{k}"))
             if f == text:

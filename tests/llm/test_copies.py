@@ -34,3 +34,10 @@ def test_one_group_of_very_many(spark):
 def test_long_texts(spark, rows, text):
     docs = spark.createDataFrame([(1, text, "s"), (2, text.upper() + "!", "s")], "doc_id BIGINT, text STRING, source STRING")
     assert found(docs, spark.createDataFrame([], "line_id BIGINT, raw STRING"), rows) == [("documents", 1, 2)]
+
+
+def test_many_sources_give_the_same(spark, rows, monkeypatch):
+    docs = spark.createDataFrame([(i, "same", f"s-{i % 40}") for i in range(80)], "doc_id BIGINT, text STRING, source STRING")
+    first = rows(copies.collapsed(docs))
+    monkeypatch.setattr(copies, "MOST_VALUES", 10)
+    assert rows(copies.collapsed(docs)) == first and len(first) == 40
