@@ -34,23 +34,25 @@ MARK = re.compile(r"(?:[•◦▪‣●○■□►▶➢✓✔★☆*–—→
 END = re.compile(r"[.!?।॥৷…][\"'”’)\]]*(?:\s*[\U0001f300-\U0001faff\u2600-\u27bf]+)*$")
 STOPS = re.compile(r"[.!?।॥৷…](?=\s|$)")
 DIGITS = re.compile(r"[0-9০-৯०-९]")
-#: Shapes of lines that are no sentences, with the reason each is recorded under.
+#: Shapes of lines that are no sentences: the reason each is recorded under, the share of firm words that it stays below, and its pattern.
 SHAPES = (
-    ("links", re.compile(r"\S*(?:https?://|www\.|ftp://)\S+$")),
-    ("codes", re.compile(r"(?=\S*[0-9])(?=\S*[A-Za-z])[0-9A-Za-z+/=_-]{24,}$")),
-    ("log", re.compile(r"\d{4}-\d\d-\d\d[ T]\d\d:\d\d|.*\w=\S+.*\w=\S")),
-    ("table", re.compile(r"\||.*\S\s*\|.*\|\s*|.*\t.*\t|.*\S {3,}\S.*[0-9০-৯०-९]|[^,;]*[,;]\S[^,;]*[,;]\S|[-=+|: ]{5,}$")),
-    ("contents", re.compile(r".*(?:\.|…| \.){4,}\s*[0-9০-৯०-९]+$")),
-    ("menu", re.compile(r"(?:[^»>/|·›]{1,30}[»>/|·›]\s*){3,}")),
-    ("pairs", re.compile(r"[^:]{1,60}:\s+[^:]{1,60}$")),
-    ("amounts", re.compile(r"[0-9০-৯०-९.,]+\s+\S+(?:\s+\S+){0,6}$")),
+    ("links", 0.2, re.compile(r"\S*(?:https?://|www\.|ftp://)\S+$")),
+    ("codes", 0.2, re.compile(r"(?=\S*[0-9])(?=\S*[A-Za-z])[0-9A-Za-z+/=_-]{24,}$")),
+    ("log", 0.2, re.compile(r"\d{4}-\d\d-\d\d[ T]\d\d:\d\d|.*\w=\S+.*\w=\S")),
+    ("menu", 0.2, re.compile(r"(?:[^»>/|·›]{1,30}[»>/|·›]\s*){3,}")),
+    ("table", 0.2, re.compile(r"\||.*\S\s*\|.*\|\s*|[^,;]*[,;]\S[^,;]*[,;]\S")),
+    ("table", 0.01, re.compile(r".*\t.*\t|.*\S {3,}\S.*[0-9০-৯०-९]")),
+    ("contents", 0.2, re.compile(r".*(?:\.|…| \.){4,}\s*[0-9০-৯०-९]+$")),
+    ("menu", 0.01, re.compile(r"(?:\S+(?: \S+)? {2,}){3,}\S+(?: \S+)?$")),
+    ("pairs", 0.2, re.compile(r"[^:]{1,60}:\s+[^:]{1,60}$")),
+    ("amounts", 0.2, re.compile(r"[0-9০-৯०-९.,]+\s+\S+(?:\s+\S+){0,6}$")),
 )
 #: A rule between rows, and an identifier standing alone.
 RULE = re.compile(r"[|+][-=+|: ]{2,}$")
 #: Lines of at least so many words are judged by themselves, shorter ones together with their neighbours.
 LONG = 8
-#: Least share of clause words in prose, and the most that a shape may have.
-LEAST_SHARE, SHAPE_SHARE = 0.05, 0.2
+#: Least share of clause words in prose.
+LEAST_SHARE = 0.05
 SOUNDS = re.compile(r"[^\W_]|[\u0900-\u0dff]")
 SYMBOLS = re.compile(r"[^\w\s\u0900-\u0dff]")
 
@@ -114,10 +116,9 @@ class Page:
             if not end and not firm:
                 return "list" if n > 1 or DIGITS.search(s) or mark.end() < len(s) else None
             return None
-        if c < SHAPE_SHARE * n:
-            for reason, shape in SHAPES:
-                if shape.match(s) and not (end and c):
-                    return reason
+        for reason, most, shape in SHAPES:
+            if firm <= most * n and shape.match(s) and not (end and firm):
+                return reason
         if len(SYMBOLS.findall(s)) > 0.4 * len(s):
             return "signs"
         return None
