@@ -33,8 +33,9 @@ STANDS_FOR = {"BD": {"bn"}, "WB": {"bn"}, "EN": {"en"}, "HI": {"hi"}, "AS": {"as
 SAMPLES = 400
 #: Longest letter sequence, and the cost of errors in training.
 LONGEST, COST = 4, 30.0
-#: Words that a sentence has at least, and the sum of margins that it reaches.
-LEAST_WORDS, LEAST_MARGIN = 6, 5.2
+#: Words that a sentence has at least, the sum of margins that it reaches at least, and how many times the
+#: highest sum that names and chance gave in held-out text of the other language.
+LEAST_WORDS, LEAST_MARGIN, ABOVE_CHANCE = 6, 4.0, 1.75
 #: Of a margin of one word, no more counts.
 CLIP = 2.0
 
@@ -106,11 +107,23 @@ class Model:
         for members in FAMILIES:
             for a, b in itertools.combinations([m for m in members if m in by], 2):
                 self.pairs[a, b] = _fit(by[a], by[b])
-        self._memos: dict[tuple[str, str], Memo] = {}
+        chance = self._by_chance(by)
+        self.least = {m: max(LEAST_MARGIN, ABOVE_CHANCE * chance.get(m, 0.0)) for m in by}
         self._coded: Memo | None = None
 
     def __getstate__(self) -> dict:
-        return {"pairs": self.pairs, "_memos": {}, "_coded": None}
+        return {"pairs": self.pairs, "least": self.least, "_coded": None}
+
+    def _by_chance(self, by: dict[str, list[list[str]]]) -> dict[str, float]:
+        """For each language the highest sum of its margins in held-out text of its related languages, by two folds."""
+        most: dict[str, float] = {}
+        for (a, b), fold in itertools.product(self.pairs, (0, 1)):
+            part = Model.__new__(Model)
+            part.pairs = {(a, b): _fit(by[a][fold::2], by[b][fold::2])}
+            for lang, other, sign in ((a, b, 1), (b, a, -1)):
+                words = itertools.chain.from_iterable(by[other][1 - fold :: 2])
+                most[lang] = max(most.get(lang, 0.0), highest(np.array([sign * part.margin(a, b, w) for w in words])))
+        return most
 
     def margin(self, a: str, b: str, word: str) -> float:
         """The margin of `word` for a (above 0) against b."""
@@ -154,8 +167,8 @@ def longest_run(families: np.ndarray, f: int) -> int:
     return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
 
 
-def languages(coded: np.ndarray) -> dict[str, float]:
-    """The languages of a text from the codes of its tokens, each with a confidence from 0 to 1."""
+def languages(coded: np.ndarray, least: dict[str, float] | None = None) -> dict[str, float]:
+    """The languages of a text from the codes of its tokens, each with a confidence from 0 to 1; `least` has the sum that a language's sentence reaches."""
     families = np.rint(coded / 100.0).astype(np.int8)
     margins = coded - 100.0 * families
     counts = np.bincount(families, minlength=len(FAMILIES) + 1)
@@ -173,7 +186,8 @@ def languages(coded: np.ndarray) -> dict[str, float]:
         up, down = float(own[own > 0].sum()), float(-own[own < 0].sum())
         if min(up, down) >= LEAST_MARGIN:
             up, down = highest(own), highest(-own)
-        found = [(m, s) for m, s in zip(members, (up, down), strict=True) if s >= LEAST_MARGIN] or [(members[mean < 0], abs(float(own.sum())))]
+        reached = least or {}
+        found = [(m, s) for m, s in zip(members, (up, down), strict=True) if s >= reached.get(m, LEAST_MARGIN)] or [(members[mean < 0], abs(float(own.sum())))]
         if len(found) == 2 and len(own) < 2 * LEAST_WORDS:
             found = [max(found, key=lambda x: x[1])]
         for m, s in found:
@@ -199,7 +213,7 @@ def _read(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[int, dict[str,
         if not page.prose or not page.is_prose():
             continue
         tokens = " ".join(page.prose).split()
-        yield k, languages(np.fromiter(map(code, tokens), np.float64, len(tokens)))
+        yield k, languages(np.fromiter(map(code, tokens), np.float64, len(tokens)), model.least)
 
 
 def label_is_wrong(label: str | None, found: set[str]) -> bool:
@@ -259,7 +273,7 @@ def segments_of(text: str, model: Model) -> list[tuple[str, float, str]]:
         if out:
             out[-1] = (*out[-1][:2], out[-1][2] + held)
         else:
-            found = languages(np.fromiter(map(code, held.split()), np.float64, len(held.split())))
+            found = languages(np.fromiter(map(code, held.split()), np.float64, len(held.split())), model.least)
             if found:
                 out.append((*max(found.items(), key=lambda x: x[1]), held))
     return out

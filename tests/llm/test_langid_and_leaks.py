@@ -17,7 +17,7 @@ def samples(spark):
 
 def read(model, text):
     tokens = langid.prepared([text])[0].split()
-    return set(langid.languages(np.fromiter(map(model.coded().__getitem__, tokens), np.float64, len(tokens))))
+    return set(langid.languages(np.fromiter(map(model.coded().__getitem__, tokens), np.float64, len(tokens)), model.least))
 
 
 @have
