@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from khata.arrow import sliced, texts
-from khata.llm.prepare import prepared, usual
+from khata.llm.prepare import prepared
 from khata.llm.quality import EDGES, Page
 from khata.llm.tokens import LABELS, Memo
 
@@ -242,7 +243,7 @@ def mislabelled(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 SEGMENT = "id BIGINT, segment INT, lang STRING, confidence DOUBLE, text STRING"
-_SENTENCE = __import__("re").compile(r"[^.!?।॥৷\n]+(?:[.!?।॥৷]+|\n|$)")
+_SENTENCE = re.compile(r"[^.!?।॥৷\n]+(?:[.!?।॥৷]+|\n|$)")
 
 
 def segments_of(text: str, model: Model) -> list[tuple[str, float, str]]:
@@ -290,6 +291,3 @@ def segments(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(`id_col`, segment, lang, confidence, text): each document's stretches by language, in order. Texts without words give no row."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     return own.mapInArrow(sliced(lambda batch: _segmented(batch, model), "t"), SEGMENT).withColumnRenamed("id", id_col)
-
-
-__all__ = ["Model", "family", "label_is_wrong", "languages", "mislabelled", "segments", "train", "usual"]

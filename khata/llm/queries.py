@@ -48,13 +48,12 @@ def p4_alignments(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.alignments(table(spark, folder, "documents"), _held_out(spark, folder))
 
 
-def p5_budget(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.token_budget(table(spark, folder, "documents"), table(spark, folder, "sources"))
+def p5_doc_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.labelled_counts(table(spark, folder, "documents"), table(spark, folder, "sources"))
 
 
-def p5_doc_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return docs.select("doc_id").join(tokens.token_counts(docs), "doc_id", "left").fillna(0, ["n_tokens"])
+def p5_budget(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_budget(table(spark, folder, "documents"), table(spark, folder, "sources"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,7 +83,7 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_segments, p2_found, p2_canonical, p3_found, p3_stats, p4_found, p4_alignments, p5_budget, p5_doc_tokens, p6_found, p6_collapsed, p7_ids, p8_packed, p9_found, p9_restored)
+        for f in (p1_found, p1_segments, p2_found, p2_canonical, p3_found, p3_stats, p4_found, p4_alignments, p5_doc_tokens, p5_budget, p6_found, p6_collapsed, p7_ids, p8_packed, p9_found, p9_restored)
     }
 
 

@@ -208,19 +208,25 @@ def plain_name(col: str | F.Column) -> F.Column:
     return F.lower(F.regexp_replace(col, r"[\s\u00a0_\-]+", ""))
 
 
-def token_budget(docs: DataFrame, sources: DataFrame, folder: str = FOLDER, name: str = NAME) -> DataFrame:
-    """Documents and tokens by source, language_region and domain.
+def labelled_counts(docs: DataFrame, sources: DataFrame, folder: str = FOLDER, name: str = NAME) -> DataFrame:
+    """(doc_id, n_tokens, source, language_region, domain) of every document.
 
     All spellings of a source count under its name in `sources`; one that `sources`
-    lacks counts under its trimmed, lower-case self, with a null domain. A language_region
-    that is null, blank or names no language is a slice of its own, with null. Documents without tokens
-    count as documents. The sources are few; whether they are broadcast, Spark decides
-    by their size.
+    lacks under its trimmed, lower-case self, with a null domain, and a null or blank
+    one under null. A language_region that is null, blank or names no language is
+    null. Documents without tokens have 0. The sources are few; whether they are
+    broadcast, Spark decides by their size; no text is in that join.
     """
     counts = token_counts(docs, "doc_id", "text", folder, name)
     label = docs.select("doc_id", F.col("source").alias("spelt"), F.when(F.col("language_region").isin(*LABELS), F.col("language_region")).alias("language_region"))
     known = sources.select(F.col("source").alias("name"), "domain", plain_name("source").alias("key")).dropDuplicates(["key"])
-    spelt = label.join(counts, "doc_id", "left").groupBy("spelt", "language_region").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
-    named = spelt.join(known, plain_name("spelt") == F.col("key"), "left")
+    named = label.join(known, plain_name("spelt") == F.col("key"), "left")
     source = F.coalesce("name", F.when(F.trim("spelt") != "", F.lower(F.trim("spelt"))))
-    return named.groupBy(source.alias("source"), "language_region", "domain").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    named = named.select("doc_id", source.alias("source"), "language_region", "domain")
+    return named.join(counts, "doc_id", "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "source", "language_region", "domain")
+
+
+def token_budget(docs: DataFrame, sources: DataFrame, folder: str = FOLDER, name: str = NAME) -> DataFrame:
+    """Documents and tokens by source, language_region and domain, as labelled_counts has them; missing labels are slices of their own, with null."""
+    each = labelled_counts(docs, sources, folder, name)
+    return each.groupBy("source", "language_region", "domain").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))

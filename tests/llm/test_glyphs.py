@@ -71,3 +71,9 @@ def test_no_rows(documents):
 def test_canonical_texts_keep_null_and_empty(documents):
     got = {r["doc_id"]: r["text"] for r in glyphs.canonical_texts(documents([None, "", "Thе", "Thе"])).collect()}
     assert got == {1: None, 2: "", 3: "The", 4: "The"}
+
+
+def test_many_copies_meet_only_what_differs(spark):
+    docs = spark.range(1500).selectExpr("id as doc_id", "case when id = 7 then 'thе same' else 'the same' end as text")
+    pairs = glyphs.same_looking_pairs(docs)
+    assert pairs.count() == 1499 and pairs.where("doc_a = 7 OR doc_b = 7").count() == 1499
