@@ -22,7 +22,7 @@ def _stream(spark, folder, name):
     return ingest.file_stream(spark, f"{folder}/{name}.parque[t]", table(spark, folder, name).schema)
 
 
-def _run(spark, stream, columns=None):
+def _run(spark, stream):
     place = _place(spark)
     ingest.append(stream, f"{place}/out", f"{place}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")

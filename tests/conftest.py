@@ -13,7 +13,7 @@ os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parents[1]}:{os.environ['
 def spark():
     from khata.session import session
 
-    s = session("local[4]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
+    s = session("local[4]", "tests", **{"spark.sql.shuffle.partitions": "2", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
