@@ -57,7 +57,7 @@ def _bare(plain: str) -> str:
 
 def word_of(token: str) -> str:
     """A token without punctuation and symbols, lower-cased, in its canonical form; may be empty."""
-    return _bare(glyphs.canonical(token) if UNUSUAL.search(token) else unicodedata.normalize("NFC", usual(token)))
+    return _bare(glyphs.canonical(token) if UNUSUAL.search(token) else usual(unicodedata.normalize("NFC", token)).replace("৷", "।"))
 
 
 def words_of(text: str) -> list[str]:

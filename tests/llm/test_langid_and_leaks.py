@@ -60,6 +60,19 @@ def test_documents(spark, samples, rows):
     assert {r["doc_id"] for r in langid.segments(docs, model).collect()} >= {1, 2, 6, 8, 9, 10}
 
 
+def test_the_quick_path_of_words_gives_the_canonical_form():
+    signs = [chr(cp) for cp in range(0x110000) if not 0xD800 <= cp < 0xE000 and not leaks.UNUSUAL.search(chr(cp))]
+    many = [form for c in signs for form in (c, f"ক{c}", f"b{c}", f"ব{c}়")]
+    assert [t for t, plain in zip(many, leaks.glyphs.canonical_all(many), strict=True) if leaks.word_of(t) != leaks._bare(plain)] == []
+
+
+def test_another_danda_inside_a_passage(spark):
+    words = [f"শব্দ{c}" for c in "কখগঘচছজঝটঠড"]
+    item, body = (" ".join([*words[:5], words[5] + danda, *words[6:10], f" {danda} ", words[10]]) for danda in "।৷")
+    docs, items = (spark.createDataFrame([(1, t)], f"{name} BIGINT, text STRING") for name, t in (("doc_id", body), ("item_id", item)))
+    assert leaks.leaked(docs, items).count() == 1 and leaks.alignments(docs, items).first()["run"] == 11
+
+
 WORDS = [f"w{i}" for i in range(60)]
 
 
