@@ -32,6 +32,7 @@ OTHER = re.compile(f"[^{ORDINARY}]")
 GOOD = re.compile("[\x80-ſƒˆ˜̀-ͯऀ-෿Ḁ-ỿ‐-⁤₠-₿℀-™←-⇿∀-⋿①-➿ﬀ-ﬆ️﻿�\U0001f000-\U0001faff]+")
 SIGNS = re.compile("[\xa0-\xbf]+")
 STRONG = re.compile("[ऀ-෿]")
+LETTERS = re.compile("[\xc0-ſ]+")
 
 
 @functools.cache
@@ -87,7 +88,7 @@ def _single(text: str, name: str) -> tuple[str, int, int]:
 
 WIDE = re.compile(f"[^{ORDINARY}]+")
 #: Signs that the double-byte readings give.
-EAST = re.compile("[\u3041-\u9fff\uac00-\ud7a3\ue000-\uf8ff]")
+EAST = re.compile("[\u3041-\u9fff\uac00-\ud7a3\ue000-\uf8ff\uff61-\uff9f]")
 #: Only where two signs that are neither ASCII nor Indic meet, or an eastern one stands, can there be a garbled stretch.
 HINT = re.compile("[^\\x00-\\x7f\u0900-\u0dff]{2}|" + EAST.pattern)
 #: A candidate that explains this share of the unusual signs ends the search.
@@ -95,26 +96,38 @@ ENOUGH = 0.9
 
 
 def _double(text: str, name: str) -> tuple[str, int, int]:
-    """As _single, for a double-byte encoding; a restored sign must be of an Indic script or stand at a Latin letter."""
-    fall = met = 0
-
-    def back(m: re.Match) -> str:
-        nonlocal fall, met
+    """As _single, for a double-byte encoding. A stretch is sure to be garbled if it gives Indic signs, or is strictly valid and gives signs of three bytes or more, or stands at a Latin letter or a digit; other valid ones, which may be single eastern words, count only beside a sure one."""
+    parts: list[tuple[int, int, str, int, bool]] = []
+    for m in WIDE.finditer(text):
         old = m.group()
         if not EAST.search(old):
-            return old
+            continue
         raw = b"".join(b"\xff" if c == "�" else c.encode(name, "replace") for c in old)
         new = raw.decode("utf-8", "replace").replace("\ufffd\ufffd", "\ufffd")
         strong = len(STRONG.findall(new))
-        near = (text[m.start() - 1 : m.start()] + text[m.end() : m.end() + 1]).isascii() and re.search("[A-Za-z]", text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1])
-        bad = new.count("�")
-        if not (strong and strong >= bad or near and not bad and len(new) == 1 and "\xc0" <= new <= "ſ"):
-            return old
-        fall += 2 * strong + 1
-        met += len(old)
-        return new
-
-    return WIDE.sub(back, text), fall, met
+        if strong and strong >= new.count("�"):
+            parts.append((m.start(), m.end(), new, 2 * strong + 1, True))
+            continue
+        if "�" in old:
+            old = old[: max(0, old.index("�") - 1)]  # the sign before a lost byte may be made of that one's neighbours
+        end = m.start() + len(old)
+        try:
+            new = old.encode(name).decode("utf-8")
+        except UnicodeError:
+            continue
+        beyond = re.sub("[\x00-\x7f]+", "", new)
+        if not EAST.search(old) or not GOOD.fullmatch(beyond) or "�" in new:
+            continue
+        around = text[max(0, m.start() - 1) : m.start()] + text[end : end + 1]
+        near = around.isascii() and re.search("[A-Za-z]" if LETTERS.fullmatch(beyond) else "[A-Za-z0-9]", around)
+        parts.append((m.start(), end, new, 1, bool(near) or max(beyond) >= "\u1e00"))
+    if not any(sure for *_, sure in parts):
+        return text, 0, 0
+    out, at = [], 0
+    for start, end, new, *_ in parts:
+        out += [text[at:start], new]
+        at = end
+    return "".join([*out, text[at:]]), sum(p[3] for p in parts), sum(p[1] - p[0] for p in parts)
 
 
 def restored(text: str) -> tuple[str, int, list[str]]:

@@ -38,6 +38,24 @@ def test_double_byte():
     assert sum("\u0980" <= c <= "\u09ff" for c in garble.restored(bad)[0]) > len(BANGLA) / 2
 
 
+@pytest.mark.parametrize("name", ["gb18030", "cp932"])
+@pytest.mark.parametrize("text", ["don’t", "We’ve seen it—and “they” said so.", "“Yes” he’d", "wait…then", "crème brûlée", "créée", "a €5b note", "3 m²x", "So \U0001f600!"])
+def test_latin_text_under_a_double_byte_encoding(name, text):
+    bad = text.encode().decode(name, "replace")
+    got = garble.restored(bad)[0]
+    assert garble.is_garbled(bad) and ("�" in bad or got == text)
+
+
+@pytest.mark.parametrize(("bad", "text"), [("don鈥檛", "don’t"), ("don窶冲", "don’t"), ("naﾃｯve", "naïve"), ("soir챕e", "soirée"), ("soir矇e", "soirée"), ("soir辿e", "soirée"), ("鈥淵es鈥� he", "“Yes鈥� he"), ("it鈥檚 拢 x", "it’s £ x"), ("鈥榓鈥� x", "‘a鈥� x")])
+def test_marks_and_letters_of_double_byte_encodings(bad, text):
+    assert garble.restored(bad)[0] == text and garble.is_garbled(bad)
+
+
+@pytest.mark.parametrize("text", ["(路)", "陆路", "the word 猫 here", "中山路5号", "日本語のテキスト", "한국어 문장", "ｱｲｳ", "窗口", "東京タワー Tokyo"])
+def test_eastern_words_stay(text):
+    assert garble.restored(text) == (text, 0, [])
+
+
 def test_stretch_inside_good_text():
     text = f"{BANGLA} “{wrong(BANGLA, 'cp1252')}” {HINDI}"
     assert garble.restored(text)[0] == f"{BANGLA} “{BANGLA}” {HINDI}"
