@@ -23,7 +23,6 @@ from khata.arrow import sliced, texts
 SINGLE = ("cp1252", "iso8859-15", "cp1251", "cp437", "cp850", "mac_roman", "cp1250", "iso8859-2", "cp1254", "cp866", "koi8-r", "iso8859-5", "cp852", "cp858", "mac_cyrillic", "iso8859-9", "cp1257", "iso8859-7", "cp1253", "cp1256", "cp874")
 #: Double-byte encodings.
 DOUBLE = ("gb18030", "big5hkscs", "cp932", "cp949", "euc_jp")
-LAYERS = 6
 
 #: Signs that ordinary text of this corpus's scripts has; texts with no other sign are not looked at.
 ORDINARY = "\\x00-\\x7fऀ-෿​-‍–—‘’“”⁠﻿"
@@ -33,6 +32,7 @@ GOOD = re.compile("[\x80-ſƒˆ˜̀-ͯऀ-෿Ḁ-ỿ‐-⁤₠-₿℀-™←-⇿
 SIGNS = re.compile("[\xa0-\xbf]+")
 STRONG = re.compile("[ऀ-෿]")
 LETTERS = re.compile("[\xc0-ſ]+")
+BEYOND = re.compile("[^\\x00-\\x7f]")
 
 
 @functools.cache
@@ -130,10 +130,19 @@ def _double(text: str, name: str) -> tuple[str, int, int]:
     return "".join([*out, text[at:]]), sum(p[3] for p in parts), sum(p[1] - p[0] for p in parts)
 
 
+def _weight(text: str) -> int:
+    """The signs beyond ASCII, eastern ones twice; undoing a layer leaves fewer."""
+    return len(BEYOND.findall(text)) + len(EAST.findall(text))
+
+
 def restored(text: str) -> tuple[str, int, list[str]]:
-    """The text with garbled stretches restored as far as they can be, how many layers or encodings were undone, and their names."""
+    """The text with garbled stretches restored as far as they can be, how many layers or encodings were undone, and their names.
+
+    Rounds go on until none lowers the weight of the text, so there is no bound on layers and encodings.
+    """
     used: list[str] = []
-    while len(used) < LAYERS and HINT.search(text):
+    weight = _weight(text)
+    while HINT.search(text):
         signs = set(text)
         odd = len(OTHER.findall(text))
         best, most, which = "", 0, ""
@@ -151,9 +160,9 @@ def restored(text: str) -> tuple[str, int, list[str]]:
                 best, most, which = new, fall, name
                 if met >= ENOUGH * odd:
                     break
-        if not most:
+        if not most or (left := _weight(best)) >= weight:
             break
-        text = best
+        text, weight = best, left
         used.append(which)
     return text, len(used), used
 

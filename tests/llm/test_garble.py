@@ -31,6 +31,14 @@ def test_layers():
     assert garble.restored(bad)[:2] == (BANGLA, 2)
 
 
+def test_more_rounds_than_six():
+    bad = BANGLA
+    for _ in range(8):
+        bad = wrong(bad, "cp1252")
+    assert garble.restored(bad)[:2] == (BANGLA, 8)
+    assert garble.restored("Ã’a")[:2] == ("Òa", 1)
+
+
 def test_double_byte():
     assert garble.restored("soir茅e")[0] == "soirée"
     bad = BANGLA.encode().decode("gb18030", "replace")
