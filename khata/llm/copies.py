@@ -89,15 +89,20 @@ def json_records(lines: DataFrame, id_col: str = "line_id", raw_col: str = "raw"
     return read.where(F.size("one") == 1).select("id", F.col("one")[0]["text"].alias("text"), F.col("one")[0]["source"].alias("source"))
 
 
+def _keys(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(tab, id, key) of the records of both tables."""
+    lines_keys = encoded(json_records(lines), "id", {"text": False, "source": True}, "text")
+    of = lambda keys, tab: keys.select(F.lit(tab).alias("tab"), "*")
+    return of(document_keys(docs), "documents").unionByName(of(lines_keys, "raw_lines"))
+
+
 def hidden_copies(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(tab, keep_id, copy_id, n_copies) over documents and raw_lines.
 
     Records whose text is null, or blank but for punctuation, and lines that are not
     complete JSON objects are no cases. A null source equals only a null source.
     """
-    lines_keys = encoded(json_records(lines), "id", {"text": False, "source": True}, "text")
-    of = lambda keys, tab: keys.select(F.lit(tab).alias("tab"), "*")
-    both = written(of(document_keys(docs), "documents").unionByName(of(lines_keys, "raw_lines")), "keys")
+    both = written(_keys(docs, lines), "keys")
     keys = both.select("id", F.struct("tab", "key").alias("key"))
     found = keys.groupBy("key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
     return keys.join(found, "key").where("id != keep_id").select(F.col("key.tab").alias("tab"), "keep_id", F.col("id").alias("copy_id"), "n_copies")
@@ -107,3 +112,8 @@ def collapsed(docs: DataFrame) -> DataFrame:
     """One row of each group of same documents, the one with the smallest id, with the number of its copies (doc_id, n_copies)."""
     keys = document_keys(docs)
     return keys.groupBy("key").agg(F.min("id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies")).select("doc_id", "n_copies")
+
+
+def collapsed_records(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """As collapsed, over documents and raw_lines, whose records are not compared with each other (tab, keep_id, n_copies); a record without copies counts 1."""
+    return _keys(docs, lines).groupBy("tab", "key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies")).select("tab", "keep_id", "n_copies")

@@ -64,6 +64,10 @@ def p6_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return copies.collapsed(table(spark, folder, "documents"))
 
 
+def p6_records(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.collapsed_records(table(spark, folder, "documents"), table(spark, folder, "raw_lines"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"))
 
@@ -83,7 +87,7 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_segments, p2_found, p2_canonical, p3_found, p3_stats, p4_found, p4_alignments, p5_doc_tokens, p5_budget, p6_found, p6_collapsed, p7_ids, p8_packed, p9_found, p9_restored)
+        for f in (p1_found, p1_segments, p2_found, p2_canonical, p3_found, p3_stats, p4_found, p4_alignments, p5_doc_tokens, p5_budget, p6_found, p6_collapsed, p6_records, p7_ids, p8_packed, p9_found, p9_restored)
     }
 
 
@@ -101,4 +105,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p6_found": f"SELECT tab, keep_id, id AS copy_id FROM ({kept}) WHERE id <> keep_id",
         "p6_collapsed": f"SELECT min(id) AS doc_id, count(*) AS n_copies FROM ({of_docs}) WHERE t <> '' GROUP BY t, s",
+        "p6_records": f"SELECT tab, min(id) AS keep_id, count(*) AS n_copies FROM ({of_docs} UNION ALL {of_lines}) WHERE t <> '' GROUP BY tab, t, s",
     }

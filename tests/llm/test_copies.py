@@ -23,6 +23,13 @@ def test_collapsed_counts(spark, rows):
     assert rows(copies.collapsed(docs)) == [(1, 3), (2, 3)]
 
 
+def test_collapsed_records_of_both_tables(spark, rows):
+    docs = spark.createDataFrame([(2, "A b", "s"), (5, "ab!", "S"), (6, None, "s")], "doc_id BIGINT, text STRING, source STRING")
+    raw = ['{"text": "ab", "source": "s"}', '{"source": "S", "text": "A.B"}', '{"text": "alone", "source": null}', "[1]", None]
+    lines = spark.createDataFrame([(k + 1, r) for k, r in enumerate(raw)], "line_id BIGINT, raw STRING")
+    assert rows(copies.collapsed_records(docs, lines)) == [("documents", 2, 2), ("raw_lines", 1, 2), ("raw_lines", 3, 1)]
+
+
 def test_one_group_of_very_many(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "'Hot!' as text", "'s' as source")
     lines = spark.createDataFrame([], "line_id BIGINT, raw STRING")
