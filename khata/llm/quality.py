@@ -28,8 +28,9 @@ FIRM = COMMON - frozenset(usual(w) for w in WEAK)
 #: What a word is rid of before it is looked up.
 _KEPT = r"[^\w\u0900-\u0963\u0966-\u096f\u0971-\u09f6\u09f8-\u0dff]+"
 EDGES = re.compile(f"^{_KEPT}|{_KEPT}$")
-#: Numbers of words, clause words and firm ones, packed into one integer so that a line needs one sum.
-ONE, CLAUSE_BIT, FIRM_BIT, MASK = 1, 1 << 20, 1 << 40, (1 << 20) - 1
+#: Numbers of words, clause words and firm ones, packed into one integer so that a line needs one sum; each has FIELD bits, more than any text has words.
+FIELD = 40
+ONE, CLAUSE_BIT, FIRM_BIT, MASK = 1, 1 << FIELD, 1 << 2 * FIELD, (1 << FIELD) - 1
 MARK = re.compile(r"(?:[•◦▪‣●○■□►▶➢✓✔★☆*–—→·+\-]+|\(?[0-9০-৯०-९]{1,4}[.)]|\(?[A-Za-zক-হ][.)])(?:\s+|$)")
 END = re.compile(r"[.!?।॥৷…][\"'”’)\]]*(?:\s*[\U0001f300-\U0001faff\u2600-\u27bf]+)*$")
 STOPS = re.compile(r"[.!?।॥৷…](?=\s|$)")
@@ -83,7 +84,7 @@ class Page:
             if not s:
                 continue
             packed = sum(map(WEIGHTS.__getitem__, s.split()))
-            n, c, firm = packed & MASK, packed >> 20 & MASK, packed >> 40
+            n, c, firm = packed & MASK, packed >> FIELD & MASK, packed >> 2 * FIELD
             self.lines += 1
             self.words += n
             self.common += c

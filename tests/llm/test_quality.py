@@ -66,3 +66,8 @@ def test_table(documents):
     assert stats[1]["words"] == 0 and stats[1]["is_prose"] is None and stats[1]["mean_word_length"] is None
     assert stats[6]["reasons"] == ["table"] and stats[6]["is_prose"] is False
     assert quality.not_prose(df.limit(0)).count() == quality.text_stats(df.limit(0)).count() == 0
+
+
+def test_a_line_of_more_than_a_million_words():
+    page = quality.Page("said rice " * 600_000)
+    assert (page.words, page.common) == (1_200_000, 600_000)
