@@ -153,9 +153,9 @@ def rouge(spark, folder):
     return score.rouge(_translated(spark, folder), "pair_id", "guess", "truth")
 
 
-def _tagged(spark, folder):
-    """Sentences of known language as tagged words: capitalised words are entities, by length of two kinds; the guess takes longer ones only."""
-    own = table(spark, folder, "lang_samples").where("lang in ('en', 'bnls')").select("sample_id", X.words("text").alias("words"))
+def _tagged(samples):
+    """Sentences as tagged words: capitalised words are entities, by length of two kinds; the guess takes longer ones only."""
+    own = samples.select("sample_id", X.words("text").alias("words"))
     kind = lambda w: F.when(F.length(w) % 2 == 0, "PER").otherwise("LOC")
     tag = lambda least: lambda w: F.when(w.rlike("^[A-Z]") & (F.length(w) >= least), F.concat(F.lit("B-"), kind(w))).otherwise("O")
     return own.select("sample_id", "words", F.transform("words", tag(1)).alias("truth"), F.transform("words", tag(7)).alias("guess"))
@@ -168,12 +168,12 @@ _TAGS = f"(SELECT sample_id, w FROM (SELECT sample_id, unnest({sql_words('text')
     f"""SELECT CAST(1 AS DOUBLE) AS precision, CAST(p AS DOUBLE) / t AS recall, CAST(2.0 AS DOUBLE) * p / (p + t) AS f1 FROM (SELECT count(*) AS t, count(*) FILTER (length(w) >= 7) AS p FROM {_TAGS})"""
 )
 def entity_f1(spark, folder):
-    return score.entity_f1(_tagged(spark, folder), ["sample_id"], "truth", "guess")
+    return score.entity_f1(_tagged(table(spark, folder, "lang_samples").where("lang in ('en', 'bnls')")), ["sample_id"], "truth", "guess")
 
 
 @R.add()
 def label_align(spark, folder):
-    own = _tagged(spark, folder).withColumn("ids", F.transform("truth", lambda t: F.when(t == "O", 0).otherwise(1)))
+    own = _tagged(table(spark, folder, "lang_samples")).withColumn("ids", F.transform("truth", lambda t: F.when(t == "O", 0).otherwise(1)))
     pieces = F.transform("words", lambda w: F.ceil(F.length(w) / 6).cast("int"))
     return score.aligned_labels(own, "words", "ids", pieces, 48).select("sample_id", "labels")
 

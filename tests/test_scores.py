@@ -76,3 +76,11 @@ def test_pending_and_pivot(spark, rows):
     assert rows(score.pending(grid, grid.where("s = 1"), ["m", "s"])) == [("a", 2)]
     table = spark.createDataFrame([("a", "x", "1")], "m STRING, t STRING, v STRING")
     assert rows(score.summary_pivot(table, "m", "t", ["x", "y"], "v")) == [("a", "1", "N/A")]
+
+
+def test_label_align_covers_every_language(spark, tmp_path):
+    from khata.plans import registry
+
+    rows = [(1, "en", "The river Padma"), (2, "bn", "নদীর ধারে"), (3, "hi", "नदी")]
+    spark.createDataFrame(rows, "sample_id BIGINT, lang STRING, text STRING").write.parquet(f"{tmp_path}/lang_samples.parquet")
+    assert {r["sample_id"] for r in registry.queries()["label_align"](spark, str(tmp_path)).collect()} == {1, 2, 3}
