@@ -1,16 +1,23 @@
 """Problem 9: garbled text from wrong character encoding.
 
-Text in UTF-8 that was decoded under a legacy encoding shows sequences of that
-encoding's signs for the bytes C2-F4 and 80-BF. For each candidate such sequences
-are re-encoded and strictly decoded as UTF-8; the candidate that lowers the cost of
-garbling most wins, and the round is repeated for nested layers and for stretches
-under other encodings. What can't be restored stays as it is.
+Text in UTF-8 that was decoded under a legacy encoding is re-encoded under each
+candidate and strictly decoded as UTF-8, token by token (a token is a run of signs
+that only the candidate's upper half has). Each token gets the fall of a garbling
+cost: how many signs it has too many, and how unlike writing it looks (capitals
+inside words, symbols at letters, control characters, two scripts in one word).
+Tokens that the candidate does not explain count against it. Stretches of tokens
+whose sum passes a threshold, which rises with the number of places where chance
+had an opportunity, are restored; the best candidate wins the round, and rounds go
+on, for layers and for stretches under other encodings, until no cost falls.
+Signs whose bytes were lost are marked by a replacement character.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +27,9 @@ from pyspark.sql import functions as F
 from khata.arrow import sliced, texts
 
 #: Single-byte encodings that text may have been decoded with; the first of equal gain wins.
-SINGLE = ("cp1252", "iso8859-15", "cp1251", "cp437", "cp850", "mac_roman", "cp1250", "iso8859-2", "cp1254", "cp866", "koi8-r", "iso8859-5", "cp852", "cp858", "mac_cyrillic", "iso8859-9", "cp1257", "iso8859-7", "cp1253", "cp1256", "cp874")
+LATIN = ("cp1252", "iso8859-15", "cp437", "cp850", "mac_roman", "cp1250", "iso8859-2", "cp1254", "cp852", "cp858", "iso8859-9", "cp1257")
+#: Those whose upper half has the letters of another script, so that ordinary words can be valid by chance.
+SCRIPT = ("cp1251", "cp866", "koi8-r", "iso8859-5", "mac_cyrillic", "iso8859-7", "cp1253", "cp1256", "cp874")
 #: Double-byte encodings.
 DOUBLE = ("gb18030", "big5hkscs", "cp932", "cp949", "euc_jp")
 
@@ -29,14 +38,42 @@ ORDINARY = "\\x00-\\x7fऀ-෿​-‍–—‘’“”⁠﻿"
 OTHER = re.compile(f"[^{ORDINARY}]")
 #: What restored text may hold: Indic scripts, Latin letters, punctuation and signs of typesetting, pictures.
 GOOD = re.compile("[\x80-ſƒˆ˜̀-ͯऀ-෿Ḁ-ỿ‐-⁤₠-₿℀-™←-⇿∀-⋿①-➿ﬀ-ﬆ️﻿�\U0001f000-\U0001faff]+")
-SIGNS = re.compile("[\xa0-\xbf]+")
 STRONG = re.compile("[ऀ-෿]")
-LETTERS = re.compile("[\xc0-ſ]+")
-BEYOND = re.compile("[^\\x00-\\x7f]")
+UNASSIGNED = re.compile("[" + "".join(re.escape(chr(n)) for n in range(0x80, 0x3000) if unicodedata.category(chr(n)) == "Cn") + "]")
+BEYOND = re.compile("[^\\x00-\\x7f]+")
+#: Signs of Chinese, Japanese and Korean, which the double-byte readings give.
+EAST = re.compile("[ぁ-鿿가-힣-｡-ﾟ]")
+#: Only where two signs that are neither ASCII nor Indic meet, or an eastern one stands, can there be a garbled stretch.
+HINT = re.compile("[^\\x00-\\x7fऀ-෿]{2}|" + EAST.pattern)
+#: Marks that stand at letters in ordinary text.
+TYPESET = frozenset("\xa0–—‘’‚“”„•…«»‹›·")
+
+#: Symbols that stand at letters in ordinary text.
+ATTACHED = frozenset("©®™°€£¥¢§¶†‡ªº")
+
+#: Falls of cost: a sign of two bytes, of three, and of four (or a mark of typesetting, whose bytes hardly occur in words), by kind of candidate; each oddity; a lost sign; a token that isn't explained.
+WORTH = {"latin": (0.5, 3.0, 3.0), "script": (0.5, 1.0, 2.0), "double": (0.5, 1.0, 3.0)}
+#: Oddities: an unlikely place of a sign, two scripts in one word, a control character.
+PLACE, MIXED, CONTROL = 2.0, 2.5, 2.0
+LOST, UNEXPLAINED = -0.5, -3.0
+#: The sum that a stretch has to reach.
+LEAST = {"latin": 2.0, "script": 3.0, "double": 3.0}
+
+_UNITS = (
+    rb"(?P<good>(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+)"
+    rb"|(?P<lost>%s[\xe0-\xef](?:[\x80-\xbf]\xff|\xff[\x80-\xbf\xff]?)|[\xc2-\xdf]\xff|\xf0(?:[\x80-\xbf]{2}\xff|[\x80-\xbf]\xff[\x80-\xbf\xff]?|\xff[\x80-\xbf\xff]{0,2})|\xff[\x80-\xbf]{0,2}|[\xe0-\xef][\x80-\xbf]\Z|\xf0[\x80-\xbf]{1,2}\Z|\A[\x80-\xbf]{1,2})"
+    rb"|(?P<rest>.)"
+)
+#: Of a Latin candidate also a sequence whose last byte was dropped is known; among letters of other scripts that would fit words.
+_UNIT = {kind: re.compile(_UNITS % (rb"[\xe0-\xef][\x80-\xbf](?=[\xc2-\xf4])|" if kind == "latin" else b""), re.S) for kind in ("latin", "script", "double")}
+
+
+def kind_of(name: str) -> str:
+    return "double" if name in DOUBLE else "script" if name in SCRIPT else "latin"
 
 
 @functools.cache
-def _bytes_of(name: str) -> dict[str, int]:
+def _signs(name: str) -> dict[str, int]:
     """The sign of each byte from 80; a byte that the encoding lacks is the control character of that number."""
     out = {}
     for b in range(0x80, 0x100):
@@ -48,127 +85,258 @@ def _bytes_of(name: str) -> dict[str, int]:
 
 
 @functools.cache
-def _pattern(name: str) -> tuple[re.Pattern, dict[int, int], frozenset[str], frozenset[str]]:
-    """What matches stretches under an encoding, the byte of each sign, and the signs that begin and go on a sequence."""
-    signs = _bytes_of(name)
-
-    def some(a: int, b: int) -> str:
-        return "[" + "".join(re.escape(c) for c, n in signs.items() if a <= n <= b) + "]"
-
-    def has(a: int, b: int) -> bool:
-        return any(a <= n <= b for n in signs.values())
-
-    more = some(0x80, 0xBF)
-    parts = [some(0xC2, 0xDF) + more, some(0xE0, 0xE0) + some(0xA0, 0xBF) + more, some(0xE1, 0xEC) + more * 2, some(0xEE, 0xEF) + more * 2, some(0xF0, 0xF0) + some(0x90, 0xBF) + more * 2]
-    first = [(0xC2, 0xDF), (0xE0, 0xE0), (0xE1, 0xEC), (0xEE, 0xEF), (0xF0, 0xF0)]
-    leads = frozenset(c for c, n in signs.items() if n >= 0xC2)
-    follow = frozenset(c for c, n in signs.items() if n <= 0xBF)
-    return re.compile("(?:" + "|".join(p for p, f in zip(parts, first, strict=True) if has(*f)) + ")+"), {ord(c): n for c, n in signs.items()}, leads, follow
-
-
-def _single(text: str, name: str) -> tuple[str, int, int]:
-    """The text with its stretches under `name` restored, the fall of cost, and how many signs that concerns."""
-    pattern, numbers = _pattern(name)[:2]
-    latin = name not in ("cp1251", "cp866", "koi8-r", "iso8859-5", "mac_cyrillic", "iso8859-7", "cp1253", "cp1256", "cp874")
-    fall = met = 0
-
-    def back(m: re.Match) -> str:
-        nonlocal fall, met
-        old = m.group()
-        new = old.translate(numbers).encode("latin-1").decode("utf-8", "replace")
-        ok = GOOD.fullmatch(new) and (latin or not SIGNS.fullmatch(new))
-        if not ok:
-            return old
-        fall += len(old) - len(new)
-        met += len(old)
-        return new
-
-    return pattern.sub(back, text), fall, met
-
-
-WIDE = re.compile(f"[^{ORDINARY}]+")
-#: Signs that the double-byte readings give.
-EAST = re.compile("[\u3041-\u9fff\uac00-\ud7a3\ue000-\uf8ff\uff61-\uff9f]")
-#: Only where two signs that are neither ASCII nor Indic meet, or an eastern one stands, can there be a garbled stretch.
-HINT = re.compile("[^\\x00-\\x7f\u0900-\u0dff]{2}|" + EAST.pattern)
-#: A candidate that explains this share of the unusual signs ends the search.
-ENOUGH = 0.9
+def _single(name: str) -> tuple[re.Pattern, dict[int, int], frozenset[str], frozenset[str]]:
+    """What finds tokens of a single-byte encoding, the byte of each sign (FF for a lost one), and the signs that begin and go on a sequence."""
+    signs = _signs(name)
+    token = re.compile("[" + "".join(map(re.escape, signs)) + "�]+")
+    bytes_ = {ord(c): b if b < 0xFF else 0xFE for c, b in signs.items()} | {0xFFFD: 0xFF}
+    return token, bytes_, frozenset(c for c, b in signs.items() if b >= 0xC2), frozenset(c for c, b in signs.items() if b <= 0xBF)
 
 
-def _double(text: str, name: str) -> tuple[str, int, int]:
-    """As _single, for a double-byte encoding. A stretch is sure to be garbled if it gives Indic signs, or is strictly valid and gives signs of three bytes or more, or stands at a Latin letter or a digit; other valid ones, which may be single eastern words, count only beside a sure one."""
-    parts: list[tuple[int, int, str, int, bool]] = []
-    for m in WIDE.finditer(text):
-        old = m.group()
-        if not EAST.search(old):
+@functools.cache
+def _code(sign: str, name: str) -> bytes | None:
+    """The bytes of a sign under a double-byte encoding, FF for a lost one, None if it has none."""
+    if sign == "�":
+        return b"\xff"
+    try:
+        code = sign.encode(name)
+    except UnicodeError:
+        return None
+    return code.replace(b"\xff", b"\xfe")
+
+
+def _double_tokens(text: str, name: str) -> Iterator[tuple[int, int, bytes, list[int]]]:
+    """Runs of signs beyond ASCII that the encoding has: begin, end, bytes, and where each sign's bytes begin."""
+    for m in BEYOND.finditer(text):
+        at, code, places = m.start(), b"", []
+        for k in range(m.start(), m.end() + 1):
+            own = _code(text[k], name) if k < m.end() else None
+            if own is None:
+                if code:
+                    yield at, k, code, [*places, len(code)]
+                at, code, places = k + 1, b"", []
+            else:
+                places.append(len(code))
+                code += own
+
+
+def _script(c: str) -> str:
+    """A rough script of a letter: the range that it lies in."""
+    n = ord(c)
+    if n < 0x250 or 0x1E00 <= n < 0x1F00:
+        return "latin"
+    return "east" if n >= 0x2E80 else str(n >> 7)
+
+
+def oddity(token: str, before: str, after: str, script_matters: bool) -> float:
+    """How unlike writing a token looks in its place."""
+    cost = 0.0
+    whole = before + token + after
+    for i, (a, b) in enumerate(zip(whole, whole[1:])):  # noqa: B905
+        if a.isascii() and b.isascii():
             continue
-        raw = b"".join(b"\xff" if c == "�" else c.encode(name, "replace") for c in old)
-        new = raw.decode("utf-8", "replace").replace("\ufffd\ufffd", "\ufffd")
-        strong = len(STRONG.findall(new))
-        if strong and strong >= new.count("�"):
-            parts.append((m.start(), m.end(), new, 2 * strong + 1, True))
+        if a.islower() and b.isupper():
+            cost += PLACE
+        if "\x80" <= b <= "\x9f":
+            cost += CONTROL
+        if ("─" <= a <= "▟") != ("─" <= b <= "▟") and not (a.isascii() or b.isascii() or a.isspace() or b.isspace()):
+            cost += PLACE
+        if a.isalpha():
+            if b in TYPESET:
+                after_b = whole[i + 2 : i + 3]
+                if after_b.isalpha() and (a in "ÃÂ" or b in "‘“„‚‹«"):
+                    cost += PLACE
+                elif a in "ÃÂ" and b == "\xa0" and not whole[i - 1 : i].isupper():
+                    cost += PLACE
+            elif not b.isascii() and not b.isalpha() and not b.isspace() and unicodedata.category(b) not in ("Mn", "Mc"):
+                if not a.isascii() or unicodedata.category(b)[0] == "S" and b not in ATTACHED:
+                    cost += PLACE
+            elif a in "ÃÂĂ" and b.isalpha() and not b.isascii():
+                cost += PLACE
+            elif ("｡" <= a <= "ﾟ") != ("｡" <= b <= "ﾟ") and b.isalpha() and not a.isascii() and not b.isascii():
+                cost += PLACE
+            elif script_matters and b.isalpha() and _script(a) != _script(b) and "latin" in (_script(a), _script(b)):
+                cost += MIXED
+        elif b.isalpha() and not b.isascii() and (a.isascii() and a.isdigit() and b in "ÃÂ" or not a.isascii() and unicodedata.category(a) in ("Sm", "So") and a not in ATTACHED):
+            cost += PLACE
+        elif a in "ÃÂ" and not b.isascii() and not b.isalnum():
+            cost += PLACE
+    if "\x80" <= whole[:1] <= "\x9f":
+        cost += CONTROL
+    return cost
+
+
+def _read(code: bytes, kind: str) -> tuple[list[tuple[int, int, str | None]], float, int, int] | None:
+    """The units of a token's bytes (begin, end, text or None where lost), the fall of cost by its signs, how many bytes are explained, and how many signs are lost. None if it isn't explained."""
+    units: list[tuple[int, int, str | None]] = []
+    worth = WORTH[kind]
+    fall, explained, lost, rest = 0.0, 0, 0, 0
+    foreign: set[str] = set()  # letters of scripts that only a whole word of them makes likely
+    for m in _UNIT[kind].finditer(code):
+        if m.lastgroup == "good":
+            new = m.group().decode()
+            strange = BEYOND.findall(new)
+            if UNASSIGNED.search(new):
+                return None
+            if any(not GOOD.fullmatch(s) for s in strange):
+                foreign.update(c for s in strange for c in s if not GOOD.fullmatch(c))
+                if kind != "latin" or not all(map(str.isalpha, foreign)) or len({ord(c) >> 8 if c < "⺀" else 0x2E for c in foreign}) > 1:
+                    return None
+                fall += 0.5 * sum(map(len, strange))
+            else:
+                for s in strange:
+                    for c in s:
+                        fall += worth[(c >= "ࠀ") + (c >= "\U00010000" or "\u2010" <= c <= "\u203f")]
+            explained += sum(len(s.encode()) for s in strange)
+            units.append((m.start(), m.end(), new))
+        elif m.lastgroup == "lost":
+            lost += 1
+            fall += LOST
+            units.append((m.start(), m.end(), None))
+        else:
+            rest += 1
+            units.append((m.start(), m.end(), None))
+    if not explained or rest and (kind != "latin" or rest * 3 > explained) or foreign and (rest or explained < 4):
+        return None
+    return units, fall + rest * UNEXPLAINED, explained, lost
+
+
+def _stretches(parts: list[tuple], least: float) -> Iterator[tuple]:
+    """The parts of the stretches whose sum of falls (the first of each part) reaches `least`; a stretch ends where its sum has sunk to 0."""
+    run: list[tuple] = []
+    total = most = 0.0
+    upto = 0
+    for p in [*parts, (-math.inf,)]:
+        total += p[0]
+        if total <= 0:
+            if most >= least:
+                yield from (q for q in run[:upto] if q[0] > 0)
+                # what follows the top is looked at again
+                yield from _stretches(run[upto:], least) if upto < len(run) else ()
+            run, total, most, upto = [], 0.0, 0.0, 0
             continue
-        if "�" in old:
-            old = old[: max(0, old.index("�") - 1)]  # the sign before a lost byte may be made of that one's neighbours
-        end = m.start() + len(old)
-        try:
-            new = old.encode(name).decode("utf-8")
-        except UnicodeError:
+        run.append(p)
+        if total > most:
+            most, upto = total, len(run)
+
+
+def _reread(text: str, name: str) -> tuple[str, float, int, int]:
+    """The text with its stretches under `name` restored, the gain, how many signs that concerns, and how many signs are lost in them."""
+    kind = kind_of(name)
+    parts: list[tuple] = []
+    against = 0
+    if kind == "double":
+        found = _double_tokens(text, name)
+    else:
+        token, bytes_, leads, follow = _single(name)
+        found = ((m.start(), m.end(), m.group().translate(bytes_).encode("latin-1"), None) for m in token.finditer(text))
+    for start, end, code, places in found:
+        got, cut = _read(code, kind), (0, 0)
+        if got is None and places is None:  # marks at the edges may be as they were written
+            old = text[start:end]
+            left = len(old) - len(old.lstrip("‘’“”„«»–—…\xa0�"))
+            right = len(old) - len(old.rstrip("‘’“”„«»–—…\xa0�"))
+            for cut in ((left, 0), (0, right), (left, right)):
+                if any(cut) and sum(cut) < len(old) and (got := _read(code[cut[0] : len(code) - cut[1]], kind)):
+                    break
+        if got is None:
+            if "�" in text[start:end]:
+                continue  # too little is left of it to say anything
+            letters = any(c.isalpha() for c in text[start:end])
+            against += letters
+            if kind != "latin" and letters:
+                parts.append((UNEXPLAINED,))
             continue
-        beyond = re.sub("[\x00-\x7f]+", "", new)
-        if not EAST.search(old) or not GOOD.fullmatch(beyond) or "�" in new:
+        start, end = start + cut[0], end - cut[1]
+        units, fall, explained, lost = got
+        if fall < LEAST[kind]:
+            odd = oddity(text[start:end], text[max(0, start - 1) : start], text[end : end + 1], kind != "latin")
+            fall = fall + odd if odd or kind != "latin" else 0.0
+        if fall <= 0:
             continue
-        around = text[max(0, m.start() - 1) : m.start()] + text[end : end + 1]
-        near = around.isascii() and re.search("[A-Za-z]" if LETTERS.fullmatch(beyond) else "[A-Za-z0-9]", around)
-        parts.append((m.start(), end, new, 1, bool(near) or max(beyond) >= "\u1e00"))
-    if not any(sure for *_, sure in parts):
-        return text, 0, 0
-    out, at = [], 0
-    for start, end, new, *_ in parts:
+        if places is None:
+            new = "".join(n if n is not None else "�" if b"\xff" in code[a + cut[0] : b + cut[0]] else text[start + a : start + b] for a, b, n in units)
+        else:
+            # where no letter of three bytes is near, a lost mark keeps the sign that its other bytes gave
+            index = {} if STRONG.search("".join(n or "" for _, _, n in units)) else {p: k for k, p in enumerate(places)}
+            new = "".join(n if n is not None else text[start + index[a] : start + index[b]] if a in index and b in index else "�" for a, b, n in units)
+        parts.append((fall, start, end, new, explained, lost))
+    least = LEAST[kind] + (math.log1p(against) if kind != "latin" else 0.0)
+    out, at, gain, met, lost = [], 0, 0.0, 0, 0
+    for _, start, end, new, explained, gone in _stretches(parts, least):
         out += [text[at:start], new]
         at = end
-    return "".join([*out, text[at:]]), sum(p[3] for p in parts), sum(p[1] - p[0] for p in parts)
+        gain += explained - 3 * gone
+        met += end - start
+        lost += gone
+    return "".join([*out, text[at:]]), max(gain, 0.5) if out else 0.0, met, lost
 
 
 def _weight(text: str) -> int:
     """The signs beyond ASCII, eastern ones twice; undoing a layer leaves fewer."""
-    return len(BEYOND.findall(text)) + len(EAST.findall(text))
-
+    return sum(map(len, BEYOND.findall(text))) + len(EAST.findall(text))
 
-def restored(text: str) -> tuple[str, int, list[str]]:
-    """The text with garbled stretches restored as far as they can be, how many layers or encodings were undone, and their names.
 
-    Rounds go on until none lowers the weight of the text, so there is no bound on layers and encodings.
-    """
+def _rounds(text: str, complete: bool) -> tuple[str, list[str], bool]:
+    """The text restored, the encodings undone in order, and whether nothing was lost. `complete`: only by candidates that leave no unusual sign unexplained."""
     used: list[str] = []
+    whole = True
     weight = _weight(text)
     while HINT.search(text):
         signs = set(text)
         odd = len(OTHER.findall(text))
-        best, most, which = "", 0, ""
-        for name in SINGLE + DOUBLE:
+        best, most, which, gone = "", 0.0, "", 0
+        for name in (*LATIN, *SCRIPT, *DOUBLE):
             if name in DOUBLE:
                 if not EAST.search(text):
                     break
-                new, fall, met = _double(text, name)
             else:
-                leads, follow = _pattern(name)[2:]
+                leads, follow = _single(name)[2:]
                 if leads.isdisjoint(signs) or follow.isdisjoint(signs):
                     continue
-                new, fall, met = _single(text, name)
-            if fall > most:
-                best, most, which = new, fall, name
-                if met >= ENOUGH * odd:
-                    break
-        if not most or (left := _weight(best)) >= weight:
+            new, gain, met, lost = _reread(text, name)
+            all_met = met >= odd and not lost
+            if gain > most and (all_met or not complete) and _weight(new) < weight:
+                best, most, which, gone = new, gain, name, lost
+                if all_met:
+                    break  # nothing is left to explain
+        if not most:
             break
-        text, weight = best, left
+        text, weight = best, _weight(best)
+        whole = whole and not gone
         used.append(which)
+    return text, used, whole
+
+
+def _all_rounds(text: str) -> tuple[str, list[str], bool]:
+    """As _rounds: first what one encoding explains as a whole, then line by line, as lines may come from different places, then what only the text together shows."""
+    text, used, whole = _rounds(text, True)
+    if "\n" in text and HINT.search(text):
+        lines = text.split("\n")
+        known: set[tuple[str, ...]] = set()
+        for k, line in enumerate(lines):
+            lines[k], more, ok = _rounds(line, False)
+            if tuple(more) not in known:
+                known.add(tuple(more))
+                used += more
+            whole = whole and ok
+        text = "\n".join(lines)
+    text, more, ok = _rounds(text, False)
+    return text, used + more, whole and ok and "�" not in text
+
+
+def restored(text: str) -> tuple[str, int, list[str]]:
+    """The text with garbled stretches restored as far as they can be, how many layers or encodings were undone, and their names.
+
+    Rounds go on until none lowers the weight of the text, so there is no bound on layers and encodings.
+    """
+    text, used, _ = _all_rounds(text)
     return text, len(used), used
 
 
 def is_garbled(text: str) -> bool:
-    return "�" in text or restored(text)[1] > 0
+    """Whether a stretch can be restored, or a replacement character, which only a decoder that failed writes, remains."""
+    return "�" in text or bool(_all_rounds(text)[1])
 
 
 def _scan(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -176,9 +344,9 @@ def _scan(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     ids = batch.column(0).to_pylist()
     for i, t in zip(ids, texts(batch.column(1)), strict=True):
         if t and OTHER.search(t):
-            new, layers, used = restored(t)
-            if layers or "�" in t:
-                rows.append((i, new, used, "�" not in new))
+            new, used, whole = _all_rounds(t)
+            if used or "�" in t:
+                rows.append((i, new, used, whole))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.bool_())], names=["id", "text", "encodings", "whole"])
 
@@ -186,8 +354,8 @@ def _scan(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def garbled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with a garbled stretch: (`id_col`, text restored as far as possible, encodings undone in order, whole).
 
-    `whole` is false where a replacement character remains. Null and empty texts are
-    never garbled; repeated rows each come out. No shuffle.
+    `whole` is false where a sign's bytes were lost or a replacement character remains.
+    Null and empty texts are never garbled; repeated rows each come out. No shuffle.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     return own.mapInArrow(sliced(_scan, "t"), "id BIGINT, text STRING, encodings ARRAY<STRING>, whole BOOLEAN").withColumnRenamed("id", id_col)

@@ -90,3 +90,55 @@ def test_table(documents, rows):
     got = {r["doc_id"]: (r["text"], r["whole"]) for r in garble.garbled(df).collect()}
     assert got == {4: (BANGLA, True), 5: (BANGLA, True), 6: ("x�", False), 7: (BANGLA * 300, True)}
     assert garble.garbled(df.limit(0)).count() == 0
+
+
+#: Ordinary words by language; sentences are made of them by rule.
+WORDS = {
+    "ru": "правительство россии приняло новый закон о защите окружающей среды её моё своё ещё всё ред рек рог род рим режь рожь реку роду дом вода город люди время жизнь день рука раз дело глаз там тем сам тип чем это был объём подъезд съел щёки ёлка Его Она Редкий Рекорд",
+    "uk": "уряд україни ухвалив новий закон про захист довкілля її мої свої ґанок їжа він вона місто люди час життя день рука річ діло око там цей був об’єкт під’їзд з’їв щоки ялинка київ європа ще їхній Віра Єва Її",
+    "el": "η κυβέρνηση ανακοίνωσε νέα μέτρα για την προστασία του περιβάλλοντος και των πολιτών Έλληνες Όλοι Άννα σήμερα αύριο χθες νερό πόλη άνθρωποι χρόνος ζωή ημέρα χέρι μία δουλειά μάτι εκεί αυτός ήταν προϊόν γαϊδούρι ΰ",
+    "th": "รัฐบาล ประกาศ นโยบาย ใหม่ เกี่ยวกับ การ ศึกษา ของ ประเทศ ไทย น้ำ เมือง คน เวลา ชีวิต วัน มือ ครั้ง งาน ตา ที่นั่น นี้ เป็น เกม เขต เพศ เธอ เดิน เพลง โดย เกษตร ไฟ ใจ แม่ เรา",
+    "zh": "政府 宣布 新 的 环境 保护 法律 和 公民 今天 明天 水 城市 人们 时间 生活 路 猫 么 美 迷 茅台 卤 驴 芦 禄 吡啶 硼 开始 问题 手机 中山路 陆路 窗口",
+    "ja": "政府は 新しい 環境保護法を 発表した 今日 明日 水 都市 人々 時間 生活 東京 タワー コンピュータ ﾃｽﾄ ﾃｷｽﾄ ｱｲｳ 日本語の テキスト 猫 道 縺れ 繧繝 山 川",
+    "ko": "정부는 새로운 환경 보호 법을 발표했다 오늘 내일 물 도시 사람들 시간 생활 책 처 철 차 짧은 한국어 문장 서울 집 길 나무 창 참",
+    "ar": "أعلنت الحكومة قانونا جديدا لحماية البيئة اليوم غدا ماء مدينة ناس وقت حياة آپ آگ آج گاؤں چائے پاکستان ژاله کتاب آب إلى أن لا ة",
+    "cs": "vláda přijala nový zákon o ochraně životního prostředí dnes zítra voda město lidé čas život den ruka oko tam tento byl příliš žluťoučký kůň úpěl ďábelské ódy Číž Šašek Žďár ŽIŽKOV ĎÁBEL",
+    "tr": "hükümet çevrenin korunmasına ilişkin yeni yasayı kabul etti bugün yarın su şehir insanlar zaman yaşam gün el göz orada bu İstanbul’da ABDİ’nin NEŞ’E TÜRKİYE’nin Ağrı ığdır",
+    "vi": "chính phủ thông qua luật mới về bảo vệ môi trường hôm nay ngày mai nước thành phố người thời gian cuộc sống ngày tay mắt ở đó này là ĐÂY LÀ ÂU CƠ TÂY NGUYÊN Đà Nẵng",
+    "fr": "le gouvernement a adopté une loi à la forêt où ça été là « voilà » l’été à l’œuvre naïve Noël ÂGE ÇA À PARÂTRE dîner",
+    "fi": "hallitus hyväksyi uuden lain ympäristön suojelusta tänään huomenna vesi kaupunki ihmiset ”HYVÄ” ”PÄIVÄÄ” IKEÄ’s ÄÄNI Ö",
+    "pt": "o governo aprovou uma lei de proteção ambiental amanhã NÃO “AMANHÔ MANHÃ’ MAÇÃ É À AÇÃO coração 1ª nº 5º",
+}
+
+
+@pytest.mark.parametrize("lang", WORDS)
+def test_two_hundred_sentences_of_other_languages_stay(lang):
+    words = WORDS[lang].split()
+    between = "" if lang in ("zh", "ja", "th") else " "
+    for k in range(200):
+        many = [words[(k * 7 + i * (1 + k % 13) + i * i) % len(words)] for i in range(3 + k % 9)]
+        text = [between.join(many) + ".", " ".join(many), f"“{between.join(many)}” – {many[0]}", f"In English: {many[1]} ({many[0]}) 5{many[2]}"][k % 4]
+        assert garble.restored(text) == (text, 0, []), text
+
+
+def test_signs_that_the_encoding_lacks_stay():
+    bad = BANGLA.encode().decode("cp932", "replace") + " \U0001f600 Ω"
+    new, _, _ = garble.restored(bad)
+    assert new.endswith(" \U0001f600 Ω")
+    assert not garble._all_rounds(bad)[2]
+    assert garble._all_rounds("বনে".encode().decode("gb18030", "replace") + "\U0001f600")[0].endswith("\U0001f600")
+
+
+def test_many_encodings_in_one_text():
+    names = ["cp1252", "cp437", "mac_roman", "cp850", "iso8859-15", "cp1251", "koi8-r", "cp866"]
+    bad = "\n".join(wrong(BANGLA, n) for n in names)
+    assert garble._all_rounds(bad)[0] == "\n".join([BANGLA] * len(names)) and garble._all_rounds(bad)[2]
+
+
+def test_lost_signs_make_it_not_whole():
+    new, used, whole = garble._all_rounds("বাংলার গ্রাম".encode().decode("cp1252", "ignore"))
+    assert used and not whole and new.startswith("বাংলার")
+
+
+def test_words_of_other_scripts_are_restored():
+    assert garble.restored(wrong("a bridge (мост).", "cp1252"))[0] == "a bridge (мост)."
