@@ -18,11 +18,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from khata.arrow import sliced, texts
+from khata.session import written
 
 FOLDER = os.environ.get("KHATA_TOKENIZERS", "/opt/tokenizers")
 NAME = "byte_bpe_50k"
@@ -31,6 +34,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Unicode white space, as the pattern's \s has it; U+001C to U+001F are not in it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Runs of white space of more signs are cut by rule; matching them takes a stack that follows their length.
+LONG_RUN = 4096
+RUN = re.compile(f"[{SPACE}]+")
 #: Chunks of more characters are not remembered, and at most so many are.
 LONGEST, MOST = 64, 300_000
 
@@ -58,10 +64,25 @@ class Memo(dict):
         return value
 
 
+def cut(chunk: str) -> tuple[str, str]:
+    """A chunk's long run of white space that is a piece of its own, and the rest: before other signs the pattern leaves the run's last sign to them."""
+    m = RUN.match(chunk) if len(chunk) > LONG_RUN else None
+    if m is None or m.end() <= LONG_RUN:
+        return "", chunk
+    end = m.end() if m.end() == len(chunk) else m.end() - 1
+    return chunk[:end], chunk[end:]
+
+
 @functools.cache
 def _ids_memo(folder: str, name: str) -> Memo:
-    encode = encoding(folder, name).encode_ordinary
-    return Memo(lambda chunk: np.array(encode(chunk), np.int32).tobytes())
+    tokenizer = encoding(folder, name)
+    encode, whole = tokenizer.encode_ordinary, tokenizer._core_bpe.encode_single_piece
+
+    def ids(chunk: str) -> bytes:
+        run, rest = cut(chunk)
+        return np.array(whole(run.encode()) + encode(rest) if run else encode(rest), np.int32).tobytes()
+
+    return Memo(ids)
 
 
 def _clean(text: str) -> str:
@@ -131,72 +152,119 @@ def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 # Problem 5: lengths from a dictionary of distinct pieces.
 
-#: A piece with more documents than this in one batch is spread over SALTS tasks.
-HOT, SALTS = 256, 64
+#: So many pieces, those of the most documents in the whole corpus, are looked up where the documents lie. Any other piece is in fewer
+#: documents than each of these, so no key of the join has more than one part in HOT_PIECES of the postings. The bound of what is broadcast.
+HOT_PIECES = 50_000
+#: Pieces of more characters are known by a 128-bit fingerprint.
+KEY_LENGTH = 32
+#: The pattern, with its own white space, for a splitter that gives the pieces themselves.
+_PIECES = regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"(?!\S)", f"(?![^{SPACE}])"))
 
 
-def _postings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Each distinct piece of a batch with the rows that hold it and how often."""
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
-    flat: list[str] = []
+def pieces_of(chunk: str) -> list[str]:
+    """The tokenizer's own pieces of a chunk, each of which is merged by itself."""
+    run, rest = cut(chunk)
+    return [run, *_PIECES.findall(rest)] if run else _PIECES.findall(rest)
+
+
+class _Codes(dict):
+    def __missing__(self, key: str) -> int:
+        self[key] = code = len(self)
+        return code
+
+
+_CHUNKS = Memo(pieces_of)
+
+
+def _postings(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pieces of a batch, and of each pair of piece and row: the piece's number, the row, and how often."""
+    chunk_code, piece_code = _Codes(), _Codes()
+    flat: list[int] = []
     sizes = np.zeros(batch.num_rows, np.int64)
     for i, t in enumerate(texts(batch.column(1))):
         if t:
+            try:
+                t.encode()
+            except UnicodeEncodeError:
+                t = _clean(t)
             own = CHUNK.findall(t)
             sizes[i] = len(own)
-            flat += own
-    code = _Codes()
-    codes = np.fromiter(map(code.__getitem__, flat), np.int64, len(flat))
-    pieces = list(code)
+            flat += map(chunk_code.__getitem__, own)
     rows = np.repeat(np.arange(batch.num_rows), sizes)
-    pairs, times = np.unique(codes * batch.num_rows + rows, return_counts=True)
-    which, row = np.divmod(pairs, batch.num_rows)
-    offsets = np.searchsorted(which, np.arange(len(pieces) + 1)).astype(np.int32)
-    docs = np.diff(offsets)
-    salt = np.where(docs > HOT, int(ids[0]) % SALTS if len(ids) else 0, 0)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(pieces, pa.string()), pa.array(salt, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[row], pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times, pa.int32()))],
-        names=["piece", "salt", "ids", "times"],
-    )
+    pairs, times = np.unique(np.array(flat, np.int64) * max(batch.num_rows, 1) + rows, return_counts=True)
+    chunk, row = np.divmod(pairs, max(batch.num_rows, 1))
+    parts = [[piece_code[p] for p in _CHUNKS[c]] for c in chunk_code]
+    length = np.array([len(p) for p in parts], np.int64)
+    start = np.cumsum(length) - length
+    each = length[chunk] if len(chunk) else np.zeros(0, np.int64)
+    codes = np.array([c for p in parts for c in p], np.int64)
+    at = np.repeat(start[chunk] if len(chunk) else each, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    key = codes[at] * max(batch.num_rows, 1) + np.repeat(row, each) if len(at) else np.zeros(0, np.int64)
+    both, inverse = np.unique(key, return_inverse=True)
+    total = np.bincount(inverse, np.repeat(times, each), len(both)).astype(np.int64)
+    which, at_row = np.divmod(both, max(batch.num_rows, 1))
+    return list(piece_code), which, at_row, total
 
 
-class _Codes(dict):
-    def __missing__(self, key: str) -> int:
-        self[key] = code = len(self)
-        return code
+def _key(piece: str) -> str:
+    return piece if len(piece) <= KEY_LENGTH else "\0" + xxhash.xxh3_128_hexdigest(piece.encode())
+
 
+def _distinct(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Each distinct piece of a batch: key, the piece itself if the key isn't it, and how many rows hold it."""
+    pieces, which, _, _ = _postings(batch)
+    docs = np.bincount(which, minlength=len(pieces)).astype(np.int64)
+    long = [p if len(p) > KEY_LENGTH else None for p in pieces]
+    yield pa.RecordBatch.from_arrays([pa.array(map(_key, pieces), pa.string()), pa.array(long, pa.string()), pa.array(docs, pa.int64())], names=["key", "long", "docs"])
 
-def _weighed(batches: Iterator[pa.RecordBatch], folder: str, name: str) -> Iterator[pa.RecordBatch]:
-    """Tokenizes each distinct piece and joins its length with the postings, summed by row."""
-    encode = encoding(folder, name).encode_ordinary
-    known = Memo(lambda piece: len(encode(piece)))
+
+def tokenized(piece: str, folder: str, name: str) -> int:
+    """How many tokens a piece has."""
+    return len(encoding(folder, name)._core_bpe.encode_single_piece(piece.encode()))
+
+
+def _tokenized(batches: Iterator[pa.RecordBatch], folder: str, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lengths = np.fromiter((known[p] for p in batch.column(0).to_pylist()), np.int64, batch.num_rows)
-        ids, times = batch.column(2), batch.column(3)
-        per = np.diff(ids.offsets.to_numpy())
-        weight = np.repeat(lengths, per) * ids_flat(times)
-        docs, inverse = np.unique(ids_flat(ids), return_inverse=True)
-        total = np.zeros(len(docs), np.int64)
-        np.add.at(total, inverse, weight)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(total, pa.int64())], names=["id", "n_tokens"])
+        made = [tokenized(key if long is None else long, folder, name) for key, long in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.int64())], names=["key", "docs", "n"])
 
 
-def ids_flat(column: pa.ListArray) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+def piece_lengths(docs: DataFrame, text_col: str = "text", folder: str = FOLDER, name: str = NAME) -> DataFrame:
+    """(key, docs, n): every distinct piece of the corpus with the documents that hold it and its tokens, tokenized once. Counts are summed in each task before they travel."""
+    own = docs.select(F.lit(0).alias("id"), F.col(text_col).alias("t"))
+    each = own.mapInArrow(sliced(_distinct, "t"), "key STRING, long STRING, docs BIGINT").groupBy("key", "long").agg(F.sum("docs").alias("docs"))
+    return each.mapInArrow(lambda batches: _tokenized(batches, folder, name), "key STRING, docs BIGINT, n BIGINT")
+
+
+def _weighed(batch: pa.RecordBatch, hot: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """For each row the sum over its hot pieces, under a key that no piece has, and its other pieces with their frequencies."""
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    pieces, which, row, times = _postings(batch)
+    keys = [_key(p) for p in pieces]
+    length = np.array([hot.get(k, -1) for k in keys], np.int64)
+    own = length[which] if len(which) else np.zeros(0, np.int64)
+    known = own >= 0
+    total = np.bincount(row[known], own[known] * times[known], batch.num_rows).astype(np.int64)
+    some = np.flatnonzero(total)
+    rest = ~known
+    all_keys = [f"\1{i}" for i in ids[some].tolist()] + [keys[k] for k in which[rest].tolist()]
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], ids[row[rest]]]), pa.int64()), pa.array(all_keys, pa.string()), pa.array(np.concatenate([total[some], times[rest]]), pa.int64())], names=["id", "key", "times"])
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, name: str = NAME) -> DataFrame:
     """(`id_col`, n_tokens) of every row that has tokens, by way of distinct pieces.
 
-    The pre-split pieces travel once for each batch with the documents that hold them;
-    rows of one piece meet in one task, which tokenizes it once and joins its length
-    with the frequencies. A piece with very many documents is spread over several
-    tasks by a salt. `id_col` must be unique. Null and empty texts give no row.
+    Each distinct piece of the corpus, cut as the tokenizer cuts, is tokenized once and
+    its length kept in a written table. The HOT_PIECES pieces of the most documents are
+    looked up where the documents lie; the frequencies of all others are joined with
+    the table. `id_col` must be unique. Null and empty texts give no row.
     """
+    lengths = written(piece_lengths(docs, text_col, folder, name), "pieces")
+    hot = {r["key"]: r["n"] for r in lengths.orderBy(F.desc("docs"), "key").limit(HOT_PIECES).collect()}
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    postings = own.mapInArrow(sliced(_postings, "t"), "piece STRING, salt INT, ids ARRAY<BIGINT>, times ARRAY<INT>")
-    parts = postings.repartition("piece", "salt").mapInArrow(lambda batches: _weighed(batches, folder, name), "id BIGINT, n_tokens BIGINT")
-    return parts.groupBy("id").agg(F.sum("n_tokens").alias("n_tokens")).withColumnRenamed("id", id_col)
+    postings = own.mapInArrow(sliced(lambda batch: _weighed(batch, hot), "t"), "id BIGINT, key STRING, times BIGINT")
+    joined = postings.join(lengths.select("key", "n"), "key", "left")
+    return joined.groupBy("id").agg(F.sum(F.col("times") * F.coalesce("n", F.lit(1))).alias("n_tokens")).withColumnRenamed("id", id_col)
 
 
 #: The labels that name languages (fixed values of the data model).

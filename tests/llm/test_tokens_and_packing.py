@@ -42,6 +42,52 @@ def test_hot_pieces_are_spread_and_exact(spark):
     assert {r["n_tokens"] for r in tokens.token_counts(df).collect()} == {len(plain("the same words here"))}
 
 
+def test_own_pieces_of_every_code_point():
+    encode = tokens.encoding().encode_ordinary
+    for start in range(0, 0x110000, 0x400):
+        text = "".join(f"a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}{chr(c)}\n" for c in range(start, start + 0x400) if not 0xD800 <= c < 0xE000)
+        got = [i for chunk in tokens.CHUNK.findall(text) for p in tokens.pieces_of(chunk) for i in tokens.encoding()._core_bpe.encode_single_piece(p.encode())]
+        assert got == encode(text), hex(start)
+
+
+@pytest.mark.parametrize("sign", [" ", "\t", "\n", "a", "\u00a0"])
+@pytest.mark.parametrize("n", [1_000_000])
+def test_long_runs(sign, n):
+    own = tokens.encoding()._core_bpe.encode_single_piece
+    run = sign * n
+    got = np.frombuffer(tokens.token_bytes(f"b{run}c d{run}"), np.int32)
+    if sign == "a":
+        expected = [*own(f"b{run}c".encode()), *own(f" d{run}".encode())]
+    elif sign == " ":
+        expected = [*own(b"b"), *own(run[1:].encode()), *own(b" c"), *own(b" d"), *own(run.encode())]
+    else:
+        expected = [*own(b"b"), *own(run[1:].encode()), *own(sign.encode()), *own(b"c"), *own(b" d"), *own(run.encode())]
+    assert got.tolist() == expected
+
+
+@pytest.mark.parametrize("n", [4095, 4096, 4097, 4098, 5000])
+@pytest.mark.parametrize("run", [" ", "\n", "\t ", "\u3000"])
+def test_runs_about_the_length_where_they_are_cut(n, run):
+    text = f"x{run * n}y{run * n}"
+    assert np.frombuffer(tokens.token_bytes(text), np.int32).tolist() == plain(text)
+
+
+def test_each_piece_is_tokenized_once(spark):
+    df = spark.createDataFrame([(i, f"the same words here {i % 7} {'z' * 40}") for i in range(500)], "doc_id BIGINT, text STRING").repartition(4)
+    lengths = tokens.piece_lengths(df)
+    pieces = lengths.collect()
+    assert len(pieces) == len({r["key"] for r in pieces}) == 4 + 7 + 1
+    assert {r["docs"] for r in pieces} == {500, 72, 71}
+
+
+@pytest.mark.parametrize("hot", [0, 3, 50_000])
+def test_hot_pieces_change_nothing(spark, monkeypatch, hot):
+    monkeypatch.setattr(tokens, "HOT_PIECES", hot)
+    many = [t for t in TEXTS if t] + ["common words " * 8000 + f"own{k} {'y' * 90}{k}" for k in range(12)]  # documents of 100 KB
+    df = spark.createDataFrame(list(enumerate(many)), "doc_id BIGINT, text STRING")
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(df).collect()} == {i: len(plain(t)) for i, t in enumerate(many)}
+
+
 def test_lone_surrogates_have_ids():
     assert np.frombuffer(tokens.token_bytes("a\ud800b"), np.int32).tolist() == plain("a�b")
 
