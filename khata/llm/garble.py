@@ -85,12 +85,20 @@ def _signs(name: str) -> dict[str, int]:
 
 
 @functools.cache
-def _single(name: str) -> tuple[re.Pattern, dict[int, int], frozenset[str], frozenset[str]]:
-    """What finds tokens of a single-byte encoding, the byte of each sign (FF for a lost one), and the signs that begin and go on a sequence."""
+def _single(name: str) -> tuple[re.Pattern, dict[int, int], frozenset[str], frozenset[str], re.Pattern]:
+    """What finds tokens of a single-byte encoding, the byte of each sign (FF for a lost one), the signs that begin and go on a sequence, and what finds a sequence."""
     signs = _signs(name)
+
+    def some(least: int, most: int) -> str:
+        return "[" + "".join(re.escape(c) for c, b in signs.items() if least <= b <= most) + "]"
+
+    def begun(least: int, most: int, more: int) -> list[str]:
+        return [some(least, most) + some(0x80, 0xBF) * more] if any(least <= b <= most for b in signs.values()) else []
+
+    sequence = re.compile("|".join([*begun(0xC2, 0xDF, 1), *begun(0xE0, 0xEF, 2), *begun(0xF0, 0xF4, 3)]))
     token = re.compile("[" + "".join(map(re.escape, signs)) + "�]+")
     bytes_ = {ord(c): b if b < 0xFF else 0xFE for c, b in signs.items()} | {0xFFFD: 0xFF}
-    return token, bytes_, frozenset(c for c, b in signs.items() if b >= 0xC2), frozenset(c for c, b in signs.items() if b <= 0xBF)
+    return token, bytes_, frozenset(c for c, b in signs.items() if b >= 0xC2), frozenset(c for c, b in signs.items() if b <= 0xBF), sequence
 
 
 @functools.cache
@@ -201,6 +209,10 @@ def _read(code: bytes, kind: str) -> tuple[list[tuple[int, int, str | None]], fl
     return units, fall + rest * UNEXPLAINED, explained, lost
 
 
+#: Words repeat, so what was read of short ones is remembered (a bounded memo that changes nothing but the speed).
+_read_short = functools.lru_cache(50_000)(_read)
+
+
 def _stretches(parts: list[tuple], least: float) -> Iterator[tuple]:
     """The parts of the stretches whose sum of falls (the first of each part) reaches `least`; a stretch ends where its sum has sunk to 0."""
     run: list[tuple] = []
@@ -228,11 +240,11 @@ def _reread(text: str, name: str) -> tuple[str, float, int, int]:
     if kind == "double":
         found = _double_tokens(text, name)
     else:
-        token, bytes_, leads, follow = _single(name)
-        found = ((m.start(), m.end(), m.group().translate(bytes_).encode("latin-1"), None) for m in token.finditer(text))
+        token, bytes_, _, _, sequence = _single(name)
+        found = ((m.start(), m.end(), old.translate(bytes_).encode("latin-1") if sequence.search(old := m.group()) else b"", None) for m in token.finditer(text))
     for start, end, code, places in found:
-        got, cut = _read(code, kind), (0, 0)
-        if got is None and places is None:  # marks at the edges may be as they were written
+        got, cut = (_read_short if len(code) <= 64 else _read)(code, kind) if code else None, (0, 0)
+        if got is None and code and places is None:  # marks at the edges may be as they were written
             old = text[start:end]
             left = len(old) - len(old.lstrip("‘’“”„«»–—…\xa0�"))
             right = len(old) - len(old.rstrip("‘’“”„«»–—…\xa0�"))
@@ -242,9 +254,8 @@ def _reread(text: str, name: str) -> tuple[str, float, int, int]:
         if got is None:
             if "�" in text[start:end]:
                 continue  # too little is left of it to say anything
-            letters = any(c.isalpha() for c in text[start:end])
-            against += letters
-            if kind != "latin" and letters:
+            if kind != "latin" and any(map(str.isalpha, text[start:end])):
+                against += 1
                 parts.append((UNEXPLAINED,))
             continue
         start, end = start + cut[0], end - cut[1]
@@ -291,14 +302,13 @@ def _rounds(text: str, complete: bool) -> tuple[str, list[str], bool]:
                 if not EAST.search(text):
                     break
             else:
-                leads, follow = _single(name)[2:]
+                leads, follow = _single(name)[2:4]
                 if leads.isdisjoint(signs) or follow.isdisjoint(signs):
                     continue
             new, gain, met, lost = _reread(text, name)
-            all_met = met >= odd and not lost
-            if gain > most and (all_met or not complete) and _weight(new) < weight:
+            if gain > most and (met >= odd or not complete) and _weight(new) < weight:
                 best, most, which, gone = new, gain, name, lost
-                if all_met:
+                if met >= odd and not lost:
                     break  # nothing is left to explain
         if not most:
             break
@@ -321,7 +331,7 @@ def _all_rounds(text: str) -> tuple[str, list[str], bool]:
                 used += more
             whole = whole and ok
         text = "\n".join(lines)
-    text, more, ok = _rounds(text, False)
+    text, more, ok = _rounds(text, False) if HINT.search(text) else (text, [], True)
     return text, used + more, whole and ok and "�" not in text
 
 
