@@ -1,12 +1,14 @@
 """Problem 8: filling containers of fixed capacity.
 
-A configuration linear program over the histogram of lengths (grouped by rounding
-up to a grain, as usual in such schemes) is solved by multiplicative weights: each
-round prices the lengths, finds the best filling of a container by a knapsack
-dynamic program, and lowers the weights of the lengths it serves. The fractional
-solution is rounded down; what remains is placed first-fit by falling length. All
-of that depends on the capacity only, not on the number of items. The items then
-take the places of their length by rank.
+A configuration linear program over the histogram of lengths is solved by
+multiplicative weights: each round prices the lengths, finds the best filling of a
+container by a knapsack dynamic program, and lowers the weights of the lengths it
+serves. A round serves at least an even part of what is left, or all that is left of
+one of its lengths, so the program covers the whole demand after a number of rounds
+that follows the capacity only. The fractional solution is rounded down; what that
+leaves over is placed first-fit by falling length. All of that depends on the
+capacity, not on the number of items. The items then take the places of their length
+by rank.
 """
 
 from __future__ import annotations
@@ -22,57 +24,76 @@ from khata.llm import tokens
 from khata.session import written
 
 CAPACITY = 2048
-#: Lengths are rounded up to multiples of this in the program.
-GRAIN = 4
-#: Share of the scarcest length that a round serves, and the most rounds.
-STEP, ROUNDS = 0.34, 3000
+#: Lengths are rounded up to multiples of this in the program; 1 wastes nothing.
+GRAIN = 1
+#: Share of the scarcest length that a round serves, and the rounds that the demand is spread over; the program goes on until all is covered.
+STEP, ROUNDS = 0.34, 1000
 #: Items that one ranking task takes of one length.
 PER_TASK = 500_000
 
 
-def _best_filling(price: np.ndarray, capacity: int) -> np.ndarray:
-    """The unbounded knapsack: how often each size 0..capacity stands in the filling of highest price."""
+def _best_filling(sizes: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
+    """The unbounded knapsack: how often each of `sizes` (rising) stands in the filling of highest price."""
     value = np.zeros(capacity + 1)
-    last = np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        gain = value[c - 1 :: -1] + price[1 : c + 1]
+    last = np.full(capacity + 1, -1, np.int64)
+    fit = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+    for c in range(int(sizes[0]), capacity + 1):
+        n = fit[c]
+        gain = value[c - sizes[:n]] + price[:n]
         k = int(gain.argmax())
         if gain[k] > value[c - 1]:
-            value[c], last[c] = gain[k], k + 1
+            value[c], last[c] = gain[k], k
         else:
             value[c] = value[c - 1]
-    counts = np.zeros(capacity + 1, np.int64)
+    counts = np.zeros(len(sizes), np.int64)
     c = capacity
     while c > 0:
-        if last[c]:
+        if last[c] >= 0:
             counts[last[c]] += 1
-            c -= int(last[c])
+            c -= int(sizes[last[c]])
         else:
             c -= 1
     return counts
 
 
 def fillings(demand: np.ndarray, capacity: int, step: float = STEP, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """A fractional cover: (how often each size, how many containers). demand[s] items have size s (0..capacity)."""
-    need = demand.astype(float)
-    has = need > 0
+    """A fractional cover of the whole demand: (how often each size, how many containers). demand[s] items have size s (0..capacity)."""
+    sizes = np.flatnonzero(demand)
+    need = demand[sizes].astype(float)
     left = need.copy()
-    price = np.where(has, np.arange(capacity + 1) / capacity, -np.inf)
+    price = sizes / capacity
     found: dict[bytes, list] = {}
-    for _ in range(rounds):
-        if not (left > 0.5).any():
-            break
-        open_ = left > 0.5
-        counts = _best_filling(np.where(open_, price, -np.inf), capacity)
+    done = 0
+    while len(open_ := np.flatnonzero(left > 1e-9)):
+        counts = np.zeros(len(sizes), np.int64)
+        counts[open_] = _best_filling(sizes[open_], price[open_], capacity)
         used = np.flatnonzero(counts)
-        if not len(used):
-            break
-        served = min(np.min(left[used] / counts[used]), max(1.0, step * np.min(need[used] / counts[used])))
+        even = float(left @ sizes) / capacity / max(1, rounds - done)
+        served = min(float(np.min(left[used] / counts[used])), max(1.0, even, step * float(np.min(need[used] / counts[used]))))
         own = found.setdefault(counts.tobytes(), [counts, 0.0])
         own[1] += served
         left[used] -= served * counts[used]
         price[used] *= np.exp(-step * served * counts[used] / need[used])
-    return [(c, x) for c, x in found.values()]
+        done += 1
+    out = []
+    for counts, x in found.values():
+        whole = np.zeros(capacity + 1, np.int64)
+        whole[sizes] = counts
+        out.append((whole, x))
+    return out
+
+
+def least_containers(demand: np.ndarray, capacity: int) -> int:
+    """A lower bound on the containers: the space that all items need, and the number of items of more than half a container."""
+    sizes = np.arange(len(demand))
+    return max(-(-int(demand @ sizes) // capacity), int(demand[2 * sizes > capacity].sum()))
+
+
+def left_to_rounding(demand: np.ndarray, capacity: int) -> float:
+    """The share of the space that the program's containers, rounded down, leave to first-fit."""
+    total = float(demand @ np.arange(len(demand)))
+    placed = sum(int(x + 1e-6) * float(counts @ np.arange(capacity + 1)) for counts, x in fillings(demand, capacity))
+    return 1 - placed / total if total else 0.0
 
 
 def plan(demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

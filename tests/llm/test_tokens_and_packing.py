@@ -128,6 +128,17 @@ def test_packing_is_valid_and_tight(spark, seed):
     assert report["tokens"] == total and report["containers"] == len(boxes)
 
 
+def test_the_program_covers_the_demand_without_waste():
+    rng = np.random.default_rng(0)
+    demand = np.bincount(np.clip(np.exp(rng.normal(5, 1, 50_000)).astype(int), 1, 512), minlength=513)
+    found = packing.fillings(demand, 512)
+    served = sum(x * counts for counts, x in found)
+    assert np.allclose(served, demand) and all(counts @ np.arange(513) <= 512 for counts, _ in found)
+    size, start, containers, times, first = packing.plan(demand, 512)
+    assert (first + containers).max() <= 1.0005 * packing.least_containers(demand, 512) + 1
+    assert packing.left_to_rounding(demand, 512) < 0.05
+
+
 @pytest.mark.parametrize("values", [[], [5], [7, 7, 7], [10] * 11, [1, 9, 5, 5, 10, 25], [6] * 9])
 def test_small_packings(spark, values):
     lengths = dict(enumerate(values))
