@@ -135,3 +135,37 @@ def test_edited_copies_score_high(spark):
     docs = spark.createDataFrame([(1, edited)], "doc_id BIGINT, text STRING")
     row = leaks.alignments(docs, spark.createDataFrame([(1, item)], "item_id BIGINT, text STRING")).first()
     assert row["run"] == 8 and row["share"] >= 0.8
+
+
+def test_hot_seeds_and_common_ngrams_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pick = lambda n: " ".join(WORDS[k] for k in rng.integers(0, 8, n))
+    items = spark.createDataFrame([(k, pick(14)) for k in range(30)] + [(99, pick(700))], "item_id BIGINT, text STRING")
+    docs = spark.createDataFrame([(k, pick(60)) for k in range(60)] + [(k, items.where("item_id = 99").first()["text"][900:1200]) for k in (900, 901)], "doc_id BIGINT, text STRING")
+    expected = brute([tuple(r) for r in docs.collect()], [tuple(r) for r in items.collect()])
+    assert {(900, 99), (901, 99)} <= expected
+    for hot, rare in ((200_000, 10_000), (2, 1), (1, 0)):
+        monkeypatch.setattr(leaks, "HOT", hot)
+        monkeypatch.setattr(leaks, "RARE", rare)
+        assert {tuple(r) for r in leaks.leaked(docs, items).collect()} == expected
+
+
+def test_recall_of_edited_copies(spark):
+    """One word in eight replaced, dropped or inserted: at least nine of ten copies are met and score half of the best."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    pick = lambda n: [vocabulary[int(k)] for k in np.minimum(rng.zipf(1.3, n), 2999)]
+    items = [(k, pick(int(rng.integers(12, 40)))) for k in range(300)]
+    docs = []
+    for k, words in items:
+        out = []
+        for j, w in enumerate(words):
+            edit = ("replace", "drop", "insert")[int(rng.integers(3))] if j % 8 == int(rng.integers(8)) or j % 8 == 7 else ""
+            out += {"replace": pick(1), "drop": [], "insert": [w, *pick(1)], "": [w]}[edit]
+        docs.append((k, " ".join([*pick(30), *out, *pick(30)])))
+        docs.append((1000 + k, " ".join(pick(80))))
+    table = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    held = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id BIGINT, text STRING")
+    met = {r["doc_id"] for r in leaks.alignments(table, held).where("doc_id = item_id AND share >= 0.5").collect()}
+    print("recall of edited copies", len(met) / len(items))
+    assert len(met) >= 0.9 * len(items)
