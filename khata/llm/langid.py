@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from khata.arrow import sliced, texts
 from khata.llm.prepare import prepared
-from khata.llm.quality import EDGES, Page
+from khata.llm.quality import EDGES, Pages
 from khata.llm.tokens import LABELS, Memo
 
 #: Families, by script, and their languages.
@@ -207,13 +207,11 @@ def train(samples: DataFrame, most: int = SAMPLES) -> Model:
 def _read(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[int, dict[str, float]]]:
     """For every row whose text counts, its number and its languages."""
     code = model.coded().__getitem__
-    for k, text in enumerate(prepared(texts(batch.column(1)))):
-        if not text:
+    pages = Pages(prepared(texts(batch.column(1))))
+    for k, (prose, lines) in enumerate(zip(pages.prose().tolist(), pages.prose_lines(), strict=True)):
+        if not prose or not lines:
             continue
-        page = Page(text)
-        if not page.prose or not page.is_prose():
-            continue
-        tokens = " ".join(page.prose).split()
+        tokens = " ".join(lines).split()
         yield k, languages(np.fromiter(map(code, tokens), np.float64, len(tokens)), model.least)
 
 
@@ -239,7 +237,7 @@ def mislabelled(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     sample that trained it.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.trim(label_col).alias("label"))
-    return own.mapInArrow(sliced(lambda batch: _mislabelled(batch, model), "t"), "id BIGINT, lang STRING, confidence DOUBLE").withColumnRenamed("id", id_col)
+    return own.mapInArrow(sliced(lambda batch: _mislabelled(batch, model), "t", 4 << 20), "id BIGINT, lang STRING, confidence DOUBLE").withColumnRenamed("id", id_col)
 
 
 SEGMENT = "id BIGINT, segment INT, lang STRING, confidence DOUBLE, text STRING"

@@ -1,159 +1,269 @@
 """Problem 3: per-document text quality statistics.
 
-Every line gets its statistics (words, clause words, symbols, digits, marks at the
-beginning and the end), and fixed thresholds make it prose or a row of a list, a
-table or junk, with the reason recorded. A document is not prose when more than
-half of its characters lie in lines of the second sort.
+Every line gets its statistics from arrays over the code points of a whole batch:
+words, words with a letter, word lengths, symbols, bullets, marks at the end, common
+words and the most frequent pair of words. The published thresholds for documents
+are applied to stretches of a document (a line, or neighbouring lines of fewer than
+five words together), each failure with its reason. A document is not prose when
+more than half of its characters lie in stretches that fail.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from khata.arrow import sliced, texts
 from khata.llm.prepare import prepared, usual
-from khata.llm.tokens import Memo
 from khata.llm.words import CLAUSE
 
-#: Words of clauses that names in lists hold too.
-WEAK = frozenset("about after all and are around as at at before between by down during each every for from in into more most no on one only other out over part people some such through to under up very with without work your জন মানুষ দিন কাজ সময় হাতে সব এক কিছু প্রতি পর".split())
 COMMON = frozenset(usual(w) for w in CLAUSE)
-FIRM = COMMON - frozenset(usual(w) for w in WEAK)
 #: What a word is rid of before it is looked up.
 _KEPT = r"[^\w\u0900-\u0963\u0966-\u096f\u0971-\u09f6\u09f8-\u0dff]+"
 EDGES = re.compile(f"^{_KEPT}|{_KEPT}$")
-#: Numbers of words, clause words and firm ones, packed into one integer so that a line needs one sum; each has FIELD bits, more than any text has words.
-FIELD = 40
-ONE, CLAUSE_BIT, FIRM_BIT, MASK = 1, 1 << FIELD, 1 << 2 * FIELD, (1 << FIELD) - 1
-MARK = re.compile(r"(?:[•◦▪‣●○■□►▶➢✓✔★☆*–—→·+\-]+|\(?[0-9০-৯०-९]{1,4}[.)]|\(?[A-Za-zক-হ][.)])(?:\s+|$)")
-END = re.compile(r"[.!?।॥৷…][\"'”’)\]]*(?:\s*[\U0001f300-\U0001faff\u2600-\u27bf]+)*$")
-STOPS = re.compile(r"[.!?।॥৷…](?=\s|$)")
-DIGITS = re.compile(r"[0-9০-৯०-९]")
-#: Shapes of lines that are no sentences: the reason each is recorded under, the share of firm words that it stays below, and its pattern.
-SHAPES = (
-    ("links", 0.2, re.compile(r"\S*(?:https?://|www\.|ftp://)\S+$")),
-    ("codes", 0.2, re.compile(r"(?=\S*[0-9])(?=\S*[A-Za-z])[0-9A-Za-z+/=_-]{24,}$")),
-    ("log", 0.2, re.compile(r"\d{4}-\d\d-\d\d[ T]\d\d:\d\d|.*\w=\S+.*\w=\S")),
-    ("menu", 0.2, re.compile(r"(?:[^»>/|·›]{1,30}[»>/|·›]\s*){3,}")),
-    ("table", 0.2, re.compile(r"\||.*\S\s*\|.*\|\s*|[^,;]*[,;]\S[^,;]*[,;]\S")),
-    ("table", 0.01, re.compile(r".*\t.*\t|.*\S {3,}\S.*[0-9০-৯०-९]")),
-    ("contents", 0.2, re.compile(r".*(?:\.|…| \.){4,}\s*[0-9০-৯०-९]+$")),
-    ("menu", 0.01, re.compile(r"(?:\S+(?: \S+)? {2,}){3,}\S+(?: \S+)?$")),
-    ("pairs", 0.2, re.compile(r"[^:]{1,60}:\s+[^:]{1,60}$")),
-    ("amounts", 0.2, re.compile(r"[0-9০-৯०-९.,]+\s+\S+(?:\s+\S+){0,6}$")),
-)
-#: A rule between rows, and an identifier standing alone.
-RULE = re.compile(r"[|+][-=+|: ]{2,}$")
-#: Lines of at least so many words are judged by themselves, shorter ones together with their neighbours.
-LONG = 8
-#: Least share of clause words in prose.
-LEAST_SHARE = 0.05
-SOUNDS = re.compile(r"[^\W_]|[\u0900-\u0dff]")
-SYMBOLS = re.compile(r"[^\w\s\u0900-\u0dff]")
-
-
-def _weight(token: str) -> int:
-    word = EDGES.sub("", token.lower())
-    if not any(map(str.isalnum, word)):
-        return 0
-    return ONE + CLAUSE_BIT * (word in COMMON) + FIRM_BIT * (word in FIRM)
-
-
-WEIGHTS = Memo(_weight)
 
+# Published thresholds. Shares of words with a letter, mean word length, hash marks and ellipses a word, lines with a bullet,
+# and characters in the most frequent pair of words are those of the Gopher rules; lines ending in punctuation is that of FineWeb; the least words of a line that is judged by itself that of C4.
+LEAST_ALPHABETIC, LONGEST_MEAN, MOST_SYMBOLS, MOST_BULLETS, MOST_PAIR = 0.8, 10.0, 0.1, 0.9, 0.2
+LEAST_ENDED, LEAST_WORDS = 0.12, 5
+#: A line with a bullet is a sentence all the same if it has the two stop words. Two stop words in the fifty words that a document has at least (Gopher), as a rate, and from STOPS_FROM words on at least two.
+LEAST_COMMON, STOPS_FROM = 0.04, 20
+#: The rules in the order in which reasons are given: name and threshold.
+RULES = (("words with a letter", LEAST_ALPHABETIC), ("mean word length", LONGEST_MEAN), ("symbols a word", MOST_SYMBOLS), ("lines with a bullet", MOST_BULLETS), ("characters in the most frequent pair", MOST_PAIR), ("common words", LEAST_COMMON))
+#: Code points that are looked at together; a longer line is judged in parts that end at white space.
+TOGETHER = 1 << 20
+SPACE, LETTER, DIGIT, CLOSER, TERMINAL, BULLET, MARK, PICTURE, DASH = (1 << k for k in range(9))
+
+
+@functools.cache
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """The classes of each code point as bits, and its lower case."""
+    kind = np.zeros(0x110000, np.uint16)
+    lower = np.arange(0x110000, dtype=np.uint32)
+    for cp in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000)]:
+        c = chr(cp)
+        category = unicodedata.category(c)
+        kind[cp] = SPACE * c.isspace() | LETTER * (category[0] == "L" or category in ("Mn", "Mc")) | DIGIT * (category[0] == "N") | MARK * (category[0] in "PS") | PICTURE * (category in ("So", "Sk") or cp in (0x200D, 0xFE0F)) | DASH * (category == "Pd")
+        if len(c.lower()) == 1:
+            lower[cp] = ord(c.lower())
+    for a, b in ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x33480)):
+        kind[a:b] = LETTER
+    for signs, bit in (("\"'”’)]»", CLOSER), (".!?।॥৷…", TERMINAL), ("•◦▪‣●○■□►▶➢✓✔★☆*–—→·+-", BULLET)):
+        for c in signs:
+            kind[ord(c)] |= bit
+    return kind, lower
+
+
+#: Powers of an odd number, one for each place in a word; words of more signs share the last.
+_POWER = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)], np.uint64)
+_MIX, _LINE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
+    return total[end] - total[start]
+
+
+def _words(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of the code points, where words begin and end, and a fingerprint of each word's letters and digits."""
+    kind, lower = _classes()
+    k = kind[points]
+    ink = (k & SPACE) == 0
+    edge = np.diff(np.concatenate([[0], ink.view(np.int8), [0]]))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    kept = (k & (LETTER | DIGIT)) > 0
+    nth = np.cumsum(kept)
+    word = np.maximum(np.cumsum(edge[:-1] == 1) - 1, 0)
+    place = np.minimum(nth - 1 - (np.concatenate([[0], nth])[start][word] if len(start) else 0), 63)
+    with np.errstate(over="ignore"):
+        mixed = np.where(kept, lower[points].astype(np.uint64) * _MIX * _POWER[np.maximum(place, 0)], np.uint64(0))
+        return k, start, end, _sums(mixed, start, end)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+
+
+@functools.cache
+def _common() -> np.ndarray:
+    return np.unique(_words(_points("\n".join(sorted(COMMON))))[3])
+
+
+#: What is known of each line: the document, where it begins and ends in its block, and counts.
+COUNTS = ("words", "plain", "alphabetic", "signs", "letters", "common", "ended", "ellipses", "hashes", "bullet", "marks", "pair", "chars")
+
+
+def _lines(block: str) -> dict[str, np.ndarray]:
+    """Statistics of the lines with words in a block of texts, which NULs set apart."""
+    p = _points(block)
+    k, start, end, word = _words(p)
+    real = p[start] != 0
+    text, line = np.cumsum(p == 0)[start[real]], np.cumsum(p == 10)[start[real]]
+    start, end, word = start[real], end[real], word[real]
+    if not len(start):
+        return {name: np.zeros(0, np.int64) for name in (*COUNTS, "text", "from", "to")}
+    first = np.concatenate([[True], line[1:] != line[:-1]])
+    at = np.flatnonzero(first)
+    of = np.cumsum(first) - 1
+    last = np.concatenate([at[1:], [len(line)]]) - 1
+    n = len(at)
+
+    def count(values: np.ndarray) -> np.ndarray:
+        return np.bincount(of, values, n)
+
+    def having(bits: int) -> np.ndarray:
+        return _sums(((k & bits) > 0).astype(np.int64), start, end)
+
+    letters, inks, size = having(LETTER), having(LETTER | DIGIT), end - start
+    low, high = start[at], end[last]
+    # bullets: one sign or two of those that stand before items, or a number or letter with a point or bracket
+    own = np.zeros(len(p) + 1, np.int64)
+    head, head_letters, head_inks, head_size = at, letters[at], inks[at], size[at]
+    closed = np.isin(p[end[head] - 1], (46, 41))
+    bullet = (head_size <= 3) & (having(BULLET)[head] == head_size) | closed & ((head_size <= 6) & (head_letters == 0) & (head_inks > 0) | (head_size <= 3) & (head_letters == 1))
+    dashes = having(DASH) == size
+    dashes[at[bullet]] = True  # a bullet is no word
+    counted = ~dashes
+    # the last sign that isn't a closing mark or a picture
+    telling = np.maximum.accumulate(np.where((k & (CLOSER | SPACE | PICTURE)) == 0, np.arange(len(p)), -1))[high - 1]
+    inside = telling >= low
+    telling = np.maximum(telling, 0)
+    ended = inside & ((k[telling] & TERMINAL) > 0)
+    dots = (p == 46) & np.concatenate([[False], p[:-1] == 46]) & np.concatenate([[False] * 2, p[:-2] == 46]) & ~np.concatenate([[False] * 3, p[:-3] == 46])
+    own = dots | (p == 0x2026)
+    ellipses = _sums(own.astype(np.int64), low, high) - (inside & ((p[telling] == 0x2026) | (p[telling] == 46) & (p[np.maximum(telling - 1, 0)] == 46)))
+    pair = np.zeros(n)
+    if len(of) > 1:
+        same = of[1:] == of[:-1]
+        with np.errstate(over="ignore"):
+            both = (word[1:] ^ (word[:-1] * _LINE))[same] ^ of[1:][same].astype(np.uint64) * _POWER[0]
+        _, which, times = np.unique(both, return_inverse=True, return_counts=True)
+        space = np.bincount(which, (size[1:] + size[:-1])[same])
+        np.maximum.at(pair, of[1:][same], np.where(times >= 3, space, 0)[which])
+    return {
+        "text": text[at], "from": low, "to": high, "words": count(inks > 0), "plain": count(counted), "alphabetic": count(counted & (letters > 0)), "signs": count(np.where(counted, size, 0)), "letters": count(inks), "common": count(np.isin(word, _common()) & (inks > 0)),
+        "ended": ended, "ellipses": np.maximum(ellipses, 0), "hashes": _sums((p == 35).astype(np.int64), low, high), "bullet": bullet, "marks": count(having(MARK)), "pair": pair, "chars": high - low,
+    }
+
+
+class Pages:
+    """Prepared texts judged together: statistics and failures by text, and the lines of prose."""
+
+    def __init__(self, many: list[str]):
+        self.n = len(many)
+        blocks: list[str] = []
+        parts: list[dict[str, np.ndarray]] = []
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def close() -> None:
+            nonlocal held, size
+            if held:
+                block = "".join(t + "\n\0\n" for _, t in held)
+                own = _lines(block)
+                own["text"] = np.array([i for i, _ in held], np.int64)[own["text"]]
+                own["block"] = np.full(len(own["text"]), len(blocks))
+                blocks.append(block)
+                parts.append(own)
+            held, size = [], 0
+
+        for i, t in enumerate(many):
+            for piece in _pieces(t):
+                if size + len(piece) > TOGETHER:
+                    close()
+                held.append((i, piece))
+                size += len(piece)
+        close()
+        names = (*COUNTS, "text", "from", "to", "block")
+        self.lines = {name: np.concatenate([p[name] for p in parts]) if parts else np.zeros(0, np.int64) for name in names}
+        self._blocks = blocks
+        self._judge()
+
+    def _judge(self) -> None:
+        own = self.lines
+        m = len(own["text"])
+        short = own["words"] < LEAST_WORDS
+        new = np.ones(m, bool)
+        new[1:] = ~(short[1:] & short[:-1] & (own["text"][1:] == own["text"][:-1]))
+        self.of = np.cumsum(new) - 1
+        n = int(new.sum())
+        u = {name: np.bincount(self.of, own[name], n) for name in COUNTS if name != "pair"}
+        u["pair"] = np.zeros(n)
+        np.maximum.at(u["pair"], self.of, own["pair"])
+        lines = np.bincount(self.of, minlength=n)
+        self.unit_text = own["text"][new]
+        words = np.maximum(u["plain"], 1)
+        self.values = (u["alphabetic"] / words, u["signs"] / words, (u["hashes"] + u["ellipses"]) / words, u["bullet"] / np.maximum(lines, 1), u["pair"] / np.maximum(u["signs"], 1), u["common"] / words)
+        a, length, symbols, bullets, pair, common = self.values
+        few = (common < LEAST_COMMON) & (u["plain"] >= LEAST_WORDS - 1) | (u["common"] < 2) & (u["plain"] >= STOPS_FROM)
+        sentences = u["ended"] > LEAST_ENDED * lines
+        self.failed = (a < LEAST_ALPHABETIC, length > LONGEST_MEAN, symbols > MOST_SYMBOLS, (bullets > MOST_BULLETS) & ~sentences & (u["common"] < 2 * lines), (pair > MOST_PAIR) & ~sentences, few)
+        self.bad = np.any(self.failed, axis=0) if n else np.zeros(0, bool)
+        self.unit_chars = u["chars"]
+        self.total = np.bincount(self.unit_text, u["chars"], self.n)
+        self.bad_chars = np.bincount(self.unit_text, u["chars"] * self.bad, self.n)
+
+    def prose(self) -> np.ndarray:
+        """Whether at most half of each text's characters lie in stretches that fail."""
+        return 2 * self.bad_chars <= self.total
+
+    def by_text(self, name: str) -> np.ndarray:
+        return np.bincount(self.lines["text"], self.lines[name], self.n)
+
+    def prose_lines(self) -> list[list[str]]:
+        """The lines of prose of each text."""
+        out: list[list[str]] = [[] for _ in range(self.n)]
+        own = self.lines
+        for j in np.flatnonzero(~self.bad[self.of]) if len(self.of) else ():
+            out[own["text"][j]].append(self._blocks[own["block"][j]][own["from"][j] : own["to"][j]])
+        return out
+
+    def reasons(self) -> list[list[dict]]:
+        """For each text that isn't prose the rules that stretches of it fail: name, mean value there, threshold, and the characters in these stretches."""
+        out: list[list[dict]] = [[] for _ in range(self.n)]
+        prose = self.prose()
+        for (rule, threshold), value, failed in zip(RULES, self.values, self.failed, strict=True):
+            size = np.bincount(self.unit_text[failed], self.unit_chars[failed], self.n)
+            mean = np.bincount(self.unit_text[failed], (value * self.unit_chars)[failed], self.n) / np.maximum(size, 1)
+            for i in np.flatnonzero((size > 0) & ~prose):
+                out[i].append({"rule": rule, "value": float(mean[i]), "threshold": threshold, "chars": int(size[i])})
+        return out
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A text in pieces of at most about TOGETHER signs, cut at line breaks, or at other white space in longer lines."""
+    at = 0
+    while len(text) - at > TOGETHER:
+        end = text.rfind("\n", at, at + TOGETHER)
+        if end <= at:
+            end = text.rfind(" ", at, at + TOGETHER)
+        end = end if end > at else at + TOGETHER
+        yield text[at:end]
+        at = end
+    if at < len(text):
+        yield text[at:] if at else text
 
-class Page:
-    """A prepared text judged line by line: characters by reason (prose under 'prose'), counts, and the lines of prose."""
 
-    __slots__ = ("chars", "lines", "ended", "marked", "words", "common", "prose")
+class Page:
+    """One prepared text: characters by failed rule (prose under 'prose'), counts, and the lines of prose."""
 
     def __init__(self, text: str):
-        self.chars: dict[str, int] = {}
-        self.lines = self.ended = self.marked = self.words = self.common = 0
-        self.prose: list[str] = []
-        block: list[tuple[str, int, int]] = []
-        after_junk = False
-        for line in text.splitlines():
-            s = line.strip()
-            if not s:
-                continue
-            packed = sum(map(WEIGHTS.__getitem__, s.split()))
-            n, c, firm = packed & MASK, packed >> FIELD & MASK, packed >> 2 * FIELD
-            self.lines += 1
-            self.words += n
-            self.common += c
-            end = END.search(s[-24:]) is not None
-            self.ended += end
-            reason = self._reason(s, n, c, firm, end)
-            if reason is not None:
-                self._close(block, after_junk)
-                block = []
-                self._count(reason, len(s))
-                after_junk = True
-            elif n >= LONG and (c and c >= LEAST_SHARE * n or not end):
-                self._close(block, after_junk)
-                block = []
-                after_junk = not (c and c >= LEAST_SHARE * n)
-                if after_junk:
-                    self._count("words without clauses", len(s))
-                else:
-                    self._prose(s)
-            else:
-                block.append((s, n, c))
-        self._close(block, after_junk)
-
-    def _reason(self, s: str, n: int, c: int, firm: int, end: bool) -> str | None:
-        if not n:
-            return "table" if RULE.match(s) else "signs" if len(s) > 3 else None
-        mark = MARK.match(s)
-        if mark:
-            self.marked += 1
-            if not end and not firm:
-                return "list" if n > 1 or DIGITS.search(s) or mark.end() < len(s) else None
-            return None
-        for reason, most, shape in SHAPES:
-            if firm <= most * n and shape.match(s) and not (end and firm):
-                return reason
-        if len(SYMBOLS.findall(s)) > 0.4 * len(s):
-            return "signs"
-        return None
-
-    def _close(self, block: list[tuple[str, int, int]], after_junk: bool) -> None:
-        if not block:
-            return
-        n, c, size = sum(b[1] for b in block), sum(b[2] for b in block), sum(len(b[0]) for b in block)
-        if n >= 4 and c < max(1, LEAST_SHARE * n) and not self._sentences([b[0] for b in block], n):
-            self._count("words without clauses", size)
-        elif n < 4 and not c and after_junk:
-            self._count("list", size)
-        else:
-            for b in block:
-                self._prose(b[0])
-
-    def _sentences(self, lines: list[str], n: int) -> bool:
-        """Whether lines without clause words are sentences all the same: each ends as one, marks come at the pace of sentences, words hardly repeat."""
-        if not all(END.search(s[-24:]) for s in lines):
-            return False
-        whole = " ".join(lines)
-        return len(STOPS.findall(whole)) * 25 >= n and whole.count(",") * 4 < n and len({*whole.split()}) > 0.6 * n and len(DIGITS.findall(whole)) < 0.2 * len(whole)
-
-    def _prose(self, s: str) -> None:
-        self._count("prose", len(s))
-        self.prose.append(s)
-
-    def _count(self, reason: str, size: int) -> None:
-        self.chars[reason] = self.chars.get(reason, 0) + size
+        self._pages = pages = Pages([text])
+        self.words, self.common = int(pages.by_text("words")[0]), int(pages.by_text("common")[0])
+        self.chars = {rule: int(pages.unit_chars[failed].sum()) for (rule, _), failed in zip(RULES, pages.failed, strict=True) if failed.any()}
+        if (~pages.bad).any():
+            self.chars["prose"] = int(pages.unit_chars[~pages.bad].sum())
+        self.prose = pages.prose_lines()[0]
 
     def is_prose(self) -> bool:
-        """Whether at most half of the characters lie in lines that aren't prose."""
-        total = sum(self.chars.values())
-        return 2 * (total - self.chars.get("prose", 0)) <= total
+        return bool(self._pages.prose()[0])
 
 
 def has_content(text: str) -> bool:
@@ -161,44 +271,47 @@ def has_content(text: str) -> bool:
     return any(unicodedata.category(c)[0] in "LNS" for c in text)
 
 
-STATS = "id BIGINT, words BIGINT, mean_word_length DOUBLE, symbol_ratio DOUBLE, lines BIGINT, share_ended DOUBLE, share_marked DOUBLE, share_common DOUBLE, share_prose DOUBLE, is_prose BOOLEAN, reasons ARRAY<STRING>"
+STATS = "id BIGINT, words BIGINT, mean_word_length DOUBLE, symbol_ratio DOUBLE, lines BIGINT, share_ended DOUBLE, share_marked DOUBLE, share_common DOUBLE, share_prose DOUBLE, is_prose BOOLEAN, reasons ARRAY<STRUCT<rule: STRING, value: DOUBLE, threshold: DOUBLE, chars: BIGINT>>"
+_REASONS = pa.list_(pa.struct([("rule", pa.string()), ("value", pa.float64()), ("threshold", pa.float64()), ("chars", pa.int64())]))
+
+
+def _share(a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """a / b, null over nothing."""
+    return pa.array(a / np.maximum(b, 1), pa.float64(), mask=b == 0)
 
 
 def _stats(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-    many = texts(batch.column(1))
-    for i, raw, t in zip(batch.column(0).to_pylist(), many, prepared(many), strict=True):
-        page = Page(t)
-        total = sum(page.chars.values())
-        words = page.words
-        size = len(SOUNDS.findall(t))
-        prose = page.chars.get("prose", 0)
-        share = lambda a, b: a / b if b else None
-        readable = words > 0
-        rows.append((i, words, share(size, words), share(len(SYMBOLS.findall(t)), len(t)), page.lines, share(page.ended, page.lines), share(page.marked, page.lines), share(page.common, words), share(prose, total), page.is_prose() if (readable or total) and has_content(t) else None, sorted(k for k in page.chars if k != "prose")))
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), *[pa.float64()] * 4, pa.bool_(), pa.list_(pa.string())]
-    names = [part.split()[0] for part in STATS.split(", ")]
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+    ready = prepared(texts(batch.column(1)))
+    pages = Pages(ready)
+    words, lines = pages.by_text("words"), np.bincount(pages.lines["text"], minlength=pages.n)
+    known = np.array([bool(t) and has_content(t) for t in ready], bool)
+    yield pa.RecordBatch.from_arrays(
+        [
+            batch.column(0), pa.array(words.astype(np.int64)), _share(pages.by_text("letters"), words), _share(pages.by_text("marks"), np.array([len(t) for t in ready], np.int64)), pa.array(lines.astype(np.int64)), _share(pages.by_text("ended"), lines),
+            _share(pages.by_text("bullet"), lines), _share(pages.by_text("common"), words), _share(pages.total - pages.bad_chars, pages.total), pa.array(pages.prose(), pa.bool_(), mask=~known), pa.array(pages.reasons(), _REASONS),
+        ],
+        names=["id", "words", "mean_word_length", "symbol_ratio", "lines", "share_ended", "share_marked", "share_common", "share_prose", "is_prose", "reasons"],
+    )
 
 
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of statistics and a verdict for every document.
+    """One row of statistics and a verdict for every document, with a reason for each rule that one which isn't prose fails.
 
     Shares and means over nothing are null. `is_prose` is null for null, empty or
-    blank texts and those of a few marks only. No shuffle.
+    blank texts and those of a few marks only. Documents that pass have no reason.
+    Repeated rows each come out. No shuffle.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return own.mapInArrow(sliced(_stats, "t"), STATS).withColumnRenamed("id", id_col)
+    return own.mapInArrow(sliced(_stats, "t", 4 << 20), STATS).withColumnRenamed("id", id_col)
 
 
 def _verdicts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    many = texts(batch.column(1))
-    out = [i for i, t in zip(batch.column(0).to_pylist(), prepared(many), strict=True) if t and not Page(t).is_prose() and has_content(t)]
-    yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
+    ready = prepared(texts(batch.column(1)))
+    at = [i for i in np.flatnonzero(~Pages(ready).prose()).tolist() if has_content(ready[i])]
+    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64()))], names=["id"])
 
 
 def not_prose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which more than half of the characters belong to lists, tables or junk."""
+    """The documents of which more than half of the characters belong to lists, tables or junk, by the rules of text_stats."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return own.mapInArrow(sliced(_verdicts, "t"), "id BIGINT").withColumnRenamed("id", id_col)
+    return own.mapInArrow(sliced(_verdicts, "t", 4 << 20), "id BIGINT").withColumnRenamed("id", id_col)

@@ -1,27 +1,41 @@
-"""Common words by language: verbs, pronouns, conjunctions, particles and adverbs that make clauses.
+"""Stop words by language: pronouns, conjunctions, prepositions, auxiliaries and common verbs, as general stop-word lists have them.
 
-Articles and the like, which lists of names hold as well, are left out.
+They come from such lists, not from any corpus that is judged by them. Articles and
+the like, which names in lists hold as well, are left out.
 """
 
-# Words of clauses.
+# Stop words.
 BANGLA = """
-অথচ অথবা অনেক অনেকে অন্যদিকে অবশ্য অর্থাৎ আগে আছে আছেন আজ আপনার আপনি আবার আমরা আমাদের আমার আমি আর আরও আরেকটা আসলেই আসে আসেন আসা ই উপর এ এই এক একদম একসঙ্গে এখন এখানে এটা এটি এত এদের এবং এমন এর এরা এসব এসেছে
-ও ওই ওর কখন কখনো কত কবে করতে করছে করছেন করব করবে করবেন করল করলাম করলেন করা করার করে করেছি করেছিল করেছে করেছেন করেন করো কাছে কাজ কারণ কি কিছু কিনে কিন্তু কী কে কেন কেমন কেউ কোথায় কোন কোনো খুঁজে খুব গিয়েছিল গিয়েছিলেন গিয়ে গেছে গেল চাই চাইলাম চেয়ে ছাড়া ছিল ছিলাম ছিলেন
-জন জন্য জন্যে জানায় জানি জানিয়েছে জানে তখন তবু তবে তা তাই তাকে তাদের তার তারা তাহলে তিনি তুমি তেমন তো থাকত থাকে থাকেন থেকে দরকার দিতে দিন দিবেন দিয়ে দিয়েছে দিল দিলাম দিলেন দিছে দেখা দেখলাম দেখে দেখেছে দেখেছেন দেন দেওয়া দেওয়ার দ্বারা ধরে ধন্যবাদ না নয় নাই নাকি নিয়ে নিয়েছে নিল নেই নেওয়া
-পর পরে পর্যন্ত পারত পারে পারেন পারি পাইলাম পেয়েছে প্রায় প্রতি প্রশ্ন প্লিজ ফলে বলে বলেছে বলেছেন বলেন বলল বললেন বা বিক্রি বুঝলাম ভাই ভাইয়া মতো মত মধ্যে মনে মানুষ মানে মানেন মোটামুটি যখন যত যদি যদিও যা যাক যাচ্ছে যাতে যাবে যায় যারা যে যেখানে যেতে যেন যেমন
-রেখেছে লাগছে লাগল লাগলো লাগে লিখেছেন লোকে শুধু সঙ্গে সত্যি সত্যিই সব সবাই সময় সাথে সে সেই সেখানে হইছে হইল হচ্ছে হতে হবে হয় হয়ে হয়েছিল হয়েছিলেন হয়েছে হয়তো হল হলে হলো হাতে হারিয়ে হিসেবে হোক
+অতএব অথচ অথবা অনুযায়ী অনেক অনেকে অন্তত অন্য অন্যান্য অবধি অবশ্য অর্থাৎ আগামী আগে আগেই আছে আজ আপনার আপনি আবার আমরা আমাকে আমাদের আমার আমি আর আরও ইত্যাদি ইহা উচিত উনি উপর উপরে এ এই এঁদের এঁরা এক একই একটি একবার একে এখন এখনও এখানে এটা
+এটি এত এতে এদের এবং এবার এমন এমনকি এর এরা এল এস এসে ও ওই ওঁদের ওকে ওখানে ওদের ওর ওরা কখন কখনও কত কবে কমনে কয়েক কয়েকটি করছে করছেন করতে করবে করবেন করলে করলেন করা করাই করায় করার করি করিতে করিয়া করে করেই করেছিলেন করেছে করেছেন করেন
+কাউকে কাছ কাছে কাজ কাজে কারও কারণ কি কিংবা কিছু কিছুই কিন্তু কী কে কেউ কেউই কেন কোটি কোন কোনও কোনো ক্ষেত্রে কয়েক খুব গিয়ে গিয়েছে গেছে গেল গেলে চলে চাই চান চায় চেয়ে ছাড়া ছিল ছিলেন জন জনকে জনের জন্য জন্যে জানতে জানা জানানো
+জানায় জানিয়ে জানিয়েছে ঠিক তখন তত তথা তবু তবে তা তাঁকে তাঁদের তাঁর তাঁরা তাই তাও তাকে তাতে তাদের তার তারপর তারা তাহলে তাহা তিনি তিনিও তুমি তেমন তো তোমার থাকবে থাকবেন থাকা থাকায় থাকে থাকেন থেকে থেকেই থেকেও দিকে দিতে দিন দিয়ে
+দিয়েছে দিয়েছেন দিলেন দু দুই দুটি দুটো দেওয়া দেওয়ার দেখতে দেখা দেখে দেন দেয় দ্বারা ধরে নয় না নাই নাকি নাগাদ নানা নিজে নিজেই নিজেদের নিজের নিতে নিয়ে নিয়েছে নেই নেওয়া পক্ষে পর পরে পরেই পরেও পর্যন্ত পাওয়া পারি পারে পারেন
+পেয়ে প্রতি প্রথম প্রভৃতি প্রায় ফলে ফিরে ফের বক্তব্য বদলে বন বরং বলতে বলল বললেন বলা বলে বলেছেন বলেন বসে বহু বা বাদে বার বিনা বিভিন্ন বিশেষ বিষয়টি বেশ বেশি ব্যবহার ব্যাপারে ভাবে ভাবেই মতো মতোই মধ্যে মধ্যেই মনে মাত্র মাধ্যমে মোট
+মোটেই যখন যত যতটা যথেষ্ট যদি যদিও যা যাঁর যাঁরা যাওয়া যাওয়ার যাকে যাচ্ছে যাতে যাদের যান যাবে যায় যার যারা যিনি যে যেখানে যেতে যেন যেমন রকম রয়েছে রাখা রেখে লক্ষ শুধু শুরু সঙ্গে সব সবাই সবার সমস্ত সম্প্রতি সহ সহিত সাধারণ সামনে
+সুতরাং সে সেই সেখান সেখানে সেটা সেটাই সেটি স্পষ্ট হইতে হইবে হইয়া হওয়া হওয়ায় হওয়ার হচ্ছে হত হতে হতেই হন হবে হবেন হয় হয়তো হয়নি হয়ে হয়েই হয়েছিল হয়েছে হয়েছেন হল হলে হলেই হলেও হলো হাজার হিসাবে হোক
 """
 ENGLISH = """
-about after again ago all also although always am an and are around as asked at be because been before began being believe besides between both but by came can cannot could depend did do does done down each even every explained for found from gave gathered get given go had has have he held her here him his how however i if in into is it its later like live made many may me meanwhile might more most much must my never no nor not nothing now on once one only or other our out over part people reported said same saw says see sells she should since so some still such take takes than that their them then there these they think this those though through to too took until up us very was we went were what when where whether which while who why will with without work would wrote yet you your
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been
+being have has had having do does did doing and but if or because as until while about against between into through during before after above below to from up down in out on off over under again further then once here there when
+where why how all any both each few more most other some such no nor not only own same so than too very can will just don should now also could would may might must shall cannot however yet still even much many every either
+neither one two since without within upon among around per via at by for with said says say made make take took see saw go went come came get got know think like
 """
 HINDI = """
-अगर अपना अपनी अपने अब आज इस इसका इसके इसलिए इसी उन उनका उनकी उनके उनको उन्होंने उस उसका उसकी उसके उसने उसे एक और कब कभी कर करके करता करती करते करना करने करें कहा कहते का कि किया किसी की कुछ के को कोई कौन क्या क्यों क्योंकि गई गए गया चाहिए जब जहाँ जा जाता जाती जाते जाने जिस जो तक तब तो था थी थे दिया दी दो न नहीं ने पर पहले फिर बहुत बाद बीच भी में मैं यह यहाँ या ये रहा रही रहे लिए लिया लेकिन वह वहाँ वाले वे साथ से सकता सकते सब सभी हम हर ही हुआ हुई हुए है हैं हो होता होती होते होने
+अंदर अत अपना अपनी अपने अभी आदि आप इत्यादि इन इनका इन्हीं इन्हें इस इसका इसकी इसके इसमें इसी इसे उन उनका उनकी उनके उनको उन्हीं उन्हें उस उसके उसी उसे एक एवं एस ऐसे और कई कर करता करते करना करने करें कहते कहा का काफ़ी कि कितना
+किन्हें किया किर किस किसी की कुछ कुल के को कोई कौन कौनसा गया घर जब जहाँ जा जितना जिन जिन्हें जिस जिसे जीधर जैसा जैसे जो तक तब तरह तिन तिस तो था थी थे दबारा दिया दुसरा दूसरे दो द्वारा न नहीं ना निहायत नीचे ने पर पहले पूरा पे फिर
+बनी बही बहुत बाद बाला बिलकुल भी भीतर मगर मानो मे में यदि यह यहाँ यही या यिह ये रखें रहा रहे लिए लिये लेकिन व वग़ैरह वर्ग वह वहाँ वहीं वाले वुह वे सकता सकते सबसे सभी साथ साबुत साभ सारा से सो संग ही हुआ हुई हुए है हैं हो होता होती
+होते होना होने क्योंकि
 """
 ASSAMESE = """
-অথচ অনেক অহা আছিল আছে আজি আকৌ আমাৰ আমি আৰু এ এই এইটো একেলগে এজন এটা এতিয়া এনেকুৱা ও ওচৰত ওপৰত কথা কৰা কৰি কৰিছে কৰিছিল কৰিব কৰে কাম কাৰণে কি কিন্তু কিবা কিয় কিয়নো কৈছে কোনো খাইছিল গম গৈছিল গৈছে চাই ছিল জন জনায় জমা তাত তাৰ তেওঁ তেওঁলোক তেতিয়া থকা থাকে দিছে দিনৰ দেখি ধৰি নহয় নাই নিব নিছে নে নোৱাৰিলেহেঁতেন পাইছিল পাইছে পাছত পৰা বছৰ বছৰৰ বাবে বুলি ভাবে মতে মাজত মাজৰ মানুহ যদি যি যে যেতিয়া লগত লাগে লিখিছে লৈ সকলো সময়ত সি হৈ হৈছিল হৈছে লৈছে পিছত প্ৰতি হোৱা হব হ'ব
+আৰু এই এটা এজন এক এখন কৰা কৰি কৰিছে কৰিছিল কৰিব কৰে কৰিলে হয় হৈ হৈছে হৈছিল হ'ব হব নহয় আছে আছিল নাই নে নি যে যি যাৰ যদি তেন্তে তাৰ তাত তেওঁ তেওঁৰ তেওঁলোক মই মোৰ আমি আমাৰ তুমি আপুনি ই ইয়াৰ ইয়াত সি সেই সকলো বাবে লগত লৈ পৰা
+পৰ্যন্ত মাজত মাজৰ ওপৰত তলত আগতে পাছত পিছত কাৰণে কিন্তু বা অথবা কিয় কিয়নো কি কেনেকৈ কোন কেতিয়া য'ত ত'ত যেতিয়া তেতিয়া এতিয়া আজি কালি বহুত কিছু অলপ মাত্ৰ কেৱল দ্বাৰা মতে কথা বুলি কৈছে কৈছিল থাকে থকা গৈছে গৈছিল দিয়া দিছে লোৱা
+লৈছে পাৰে নোৱাৰে লাগে আকৌ আন অন্য একে
 """
 ROMAN_BANGLA = """
-ache achen age amader amar ami ar asa ase asen babe bola bole bolen bochor bochr chara charche chele chere chilen chil chilo dhore diye diyeche diyechen e ei eke ekhn ekhon emn emon er et eti eto dekhe dekheche dike ebng ebong ge giyechilen giyeche gune hariye hisebe holo hoy hoye hoyeche hoyechil hoyechilo je jaccha jachche jache jan jana janay janiyeche jara jekhane jemon jn jodi jon jonno jonj jonyo kache kaj karon kemon ken keno khub khuje ki kichu kintu kore koren koreche korechen korte kothay krche kre kreche krechen krte ktha lage likhechen lok lokera manen manus manush mane modhje modhye mone na nei niye niyeche niyechen noy o onek oneke opor othoch para parot parto poer pore por pray prothom proshn proshno prosno purono sathe somoy songge sotjii stjii sob sobai ta tader take tar tara tobe tokhn tokhon tumi theke thakot thakto je
+ami amar amake amra amader tumi tomar apni apnar se tar take tara tader ei oi eta ota ki keno ken kotha kothay kokhon kobe kemon kothai je jara jar jodi jokhon tokhon tobe kintu ar ba othoba ebong o na nai nei noy hoy hoye hoyeche
+holo hobe chilo chil ache achen kore kori korbe korche koreche korechen koren korte kora jay jabe jacche giye giyeche theke diye niye niyeche jonno jonyo sathe songe moddhe modhye upor age pore por kache ta to ekta ek onek kichu
+sob shob khub ekhon ekhane sekhane bole bolen boleche mone
 """
 
 CLAUSE = frozenset(w for many in (BANGLA, ENGLISH, HINDI, ASSAMESE, ROMAN_BANGLA) for w in many.split())

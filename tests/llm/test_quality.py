@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from khata.llm import quality
@@ -64,10 +66,35 @@ def test_table(documents):
     stats = {r["doc_id"]: r for r in quality.text_stats(df).collect()}
     assert len(stats) == 8 and stats[5]["words"] == 19 and stats[5]["share_ended"] == 1.0 and stats[5]["is_prose"]
     assert stats[1]["words"] == 0 and stats[1]["is_prose"] is None and stats[1]["mean_word_length"] is None
-    assert stats[6]["reasons"] == ["table"] and stats[6]["is_prose"] is False
+    assert stats[6]["reasons"][0]["rule"] == "words with a letter" and stats[6]["is_prose"] is False
+    assert all(r["value"] < r["threshold"] and r["chars"] > 0 for r in stats[6]["reasons"]) and stats[5]["reasons"] == [] == stats[8]["reasons"]
     assert quality.not_prose(df.limit(0)).count() == quality.text_stats(df.limit(0)).count() == 0
 
 
 def test_a_line_of_more_than_a_million_words():
     page = quality.Page("said rice " * 600_000)
     assert (page.words, page.common) == (1_200_000, 600_000)
+
+
+@pytest.mark.parametrize("sign", [".", " ", "|", "7", " .", "a", "a,", "- "])
+def test_a_line_of_a_megabyte_takes_time_in_proportion(sign):
+    text = sign * (1_000_000 // len(sign))
+    began = time.perf_counter()
+    quality.Page(text)
+    assert time.perf_counter() - began < 2
+
+
+def test_long_texts_are_judged_in_pieces_as_a_whole(monkeypatch):
+    text = "\n".join([EN, "tea\t12\t13\t14", BN, "- milk", "- rice"] * 40)
+    whole = quality.Page(text)
+    monkeypatch.setattr(quality, "TOGETHER", 200)
+    parts = quality.Page(text)
+    assert (parts.words, parts.common, parts.is_prose()) == (whole.words, whole.common, whole.is_prose())
+    assert sum(parts.chars.values()) == pytest.approx(sum(whole.chars.values()), rel=0.05)
+
+
+def test_texts_of_a_batch_do_not_mix():
+    many = [EN, JUNK[0], "", "tea", JUNK[5], BN, "\n", EN]
+    pages = quality.Pages(many)
+    assert pages.prose().tolist() == [quality.Page(t).is_prose() for t in many]
+    assert pages.prose_lines()[0] == [EN] and pages.prose_lines()[5] == [BN] and pages.prose_lines()[1] == []
