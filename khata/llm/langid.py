@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from khata.arrow import sliced, texts
-from khata.llm.prepare import prepared
+from khata.llm.prepare import CONTROL, prepared
 from khata.llm.quality import EDGES, Pages
 from khata.llm.tokens import LABELS, Memo
 
@@ -37,6 +37,8 @@ LONGEST, COST = 4, 30.0
 #: Words that a sentence has at least, the sum of margins that it reaches at least, and how many times the
 #: highest sum that names and chance gave in held-out text of the other language.
 LEAST_WORDS, LEAST_MARGIN, ABOVE_CHANCE = 6, 4.0, 1.75
+#: Words of a sentence's beginning that confidence is learnt from; longer ones are sure anyway.
+BEGINNING = 6
 #: Of a margin of one word, no more counts.
 CLIP = 2.0
 
@@ -109,11 +111,12 @@ class Model:
             for a, b in itertools.combinations([m for m in members if m in by], 2):
                 self.pairs[a, b] = _fit(by[a], by[b])
         chance = self._by_chance(by)
+        self.sure: dict[tuple[str, str], tuple[float, float]] = {pair: self._calibrated(by, pair) for pair in self.pairs}
         self.least = {m: max(LEAST_MARGIN, ABOVE_CHANCE * chance.get(m, 0.0)) for m in by}
         self._coded: Memo | None = None
 
     def __getstate__(self) -> dict:
-        return {"pairs": self.pairs, "least": self.least, "_coded": None}
+        return {"pairs": self.pairs, "least": self.least, "sure": self.sure, "_coded": None}
 
     def _by_chance(self, by: dict[str, list[list[str]]]) -> dict[str, float]:
         """For each language the highest sum of its margins in held-out text of its related languages, by two folds."""
@@ -126,6 +129,41 @@ class Model:
                 most[lang] = max(most.get(lang, 0.0), highest(np.array([sign * part.margin(a, b, w) for w in words])))
         return most
 
+    def _calibrated(self, by: dict[str, list[list[str]]], pair: tuple[str, str]) -> tuple[float, float]:
+        """Slope and offset of the chance that a stretch is of the pair's first language, by the sum of its margins: logistic regression on the beginnings of held-out sentences, up to BEGINNING words."""
+        sums: list[float] = []
+        first: list[bool] = []
+        for fold in (0, 1):
+            part = Model.__new__(Model)
+            part.pairs = {pair: _fit(by[pair[0]][fold::2], by[pair[1]][fold::2])}
+            for lang in pair:
+                for words in by[lang][1 - fold :: 2]:
+                    upto = np.cumsum([part.margin(*pair, w) for w in words[:BEGINNING]])
+                    sums += upto.tolist()
+                    first += [lang == pair[0]] * len(upto)
+        x, y = np.array(sums), np.array(first, float)
+        y = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))  # no chance is quite 0 or 1
+        slope, offset = 1.0, 0.0
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
+            w = p * (1 - p) + 1e-9
+            a, b, c = (w * x * x).sum() + 1e-6, (w * x).sum(), w.sum() + 1e-6
+            g, h = ((y - p) * x).sum(), (y - p).sum()
+            step = (c * g - b * h) / (a * c - b * b), (a * h - b * g) / (a * c - b * b)
+            slope, offset = slope + step[0], offset + step[1]
+            if max(map(abs, step)) < 1e-6:
+                break
+        return float(slope), float(offset)
+
+    def confidence(self, lang: str, total: float, own: int, words: int) -> float:
+        """The chance that a stretch is of a language: `total` is the sum of margins for it against the related one, `own` of its `words` are of its family."""
+        share = (own + 1) / (words + 2)
+        for (a, b), (slope, offset) in self.sure.items():
+            if lang in (a, b):
+                z = slope * total + offset if lang == a else slope * total - offset
+                return share / (1 + math.exp(-min(max(z, -30.0), 30.0)))
+        return share
+
     def margin(self, a: str, b: str, word: str) -> float:
         """The margin of `word` for a (above 0) against b."""
         weights, bias = self.pairs[a, b]
@@ -168,8 +206,8 @@ def longest_run(families: np.ndarray, f: int) -> int:
     return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
 
 
-def languages(coded: np.ndarray, least: dict[str, float] | None = None) -> dict[str, float]:
-    """The languages of a text from the codes of its tokens, each with a confidence from 0 to 1; `least` has the sum that a language's sentence reaches."""
+def languages(coded: np.ndarray, least: dict[str, float] | None = None, model: Model | None = None) -> dict[str, float]:
+    """The languages of a text from the codes of its tokens, each with a confidence from 0 to 1 (calibrated where a model is given); `least` has the sum that a language's sentence reaches."""
     families = np.rint(coded / 100.0).astype(np.int8)
     margins = coded - 100.0 * families
     counts = np.bincount(families, minlength=len(FAMILIES) + 1)
@@ -182,7 +220,8 @@ def languages(coded: np.ndarray, least: dict[str, float] | None = None) -> dict[
         members, own = FAMILIES[f - 1], margins[families == f]
         mean = float(own.mean())
         if len(members) == 1:
-            out[members[0]] = 1.0
+            own_words = int(counts[f])
+            out[members[0]] = model.confidence(members[0], 0.0, own_words, own_words) if model else 1.0
             continue
         up, down = float(own[own > 0].sum()), float(-own[own < 0].sum())
         if min(up, down) >= LEAST_MARGIN:
@@ -192,7 +231,7 @@ def languages(coded: np.ndarray, least: dict[str, float] | None = None) -> dict[
         if len(found) == 2 and len(own) < 2 * LEAST_WORDS:
             found = [max(found, key=lambda x: x[1])]
         for m, s in found:
-            out[m] = 1 / (1 + math.exp(-s))
+            out[m] = model.confidence(m, s, int(counts[f]), int(counts[f])) if model else 1 / (1 + math.exp(-min(s, 30.0)))
     return out
 
 
@@ -212,7 +251,7 @@ def _read(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[int, dict[str,
         if not prose or not lines:
             continue
         tokens = " ".join(lines).split()
-        yield k, languages(np.fromiter(map(code, tokens), np.float64, len(tokens)), model.least)
+        yield k, languages(np.fromiter(map(code, tokens), np.float64, len(tokens)), model.least, model)
 
 
 def label_is_wrong(label: str | None, found: set[str]) -> bool:
@@ -240,52 +279,111 @@ def mislabelled(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     return own.mapInArrow(sliced(lambda batch: _mislabelled(batch, model), "t", 4 << 20), "id BIGINT, lang STRING, confidence DOUBLE").withColumnRenamed("id", id_col)
 
 
-SEGMENT = "id BIGINT, segment INT, lang STRING, confidence DOUBLE, text STRING"
-_SENTENCE = re.compile(r"[^.!?।॥৷\n]+(?:[.!?।॥৷]+|\n|$)")
+SEGMENT = "id BIGINT, segment INT, lang STRING, confidence DOUBLE, begin BIGINT, end BIGINT, text STRING"
+_TOKEN = re.compile(r"\S+")
+_STOP = re.compile(r"[.!?।॥৷…][\"'”’)\]»]*$")
+#: What a change of language costs, against 1 for each word that it explains and 1 for each that it doesn't: inside a sentence, and between two.
+WITHIN, BETWEEN = 4.0, 1.0
+
+
+def _tokens(text: str, ready: str) -> tuple[list[re.Match], list[str]]:
+    """The tokens of a text as they stand in it, and their prepared forms. Where preparing the whole text changed how many there are, each is prepared by itself."""
+    found = list(_TOKEN.finditer(CONTROL.sub(lambda m: "\n" * len(m.group()), text)))
+    plain = ready.split()
+    if len(plain) != len(found):
+        plain = prepared([m.group() for m in found])
+    return found, plain
+
+
+def _paths(scores: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """The best language of each token: the sum of scores less the cost of each change (Viterbi's algorithm)."""
+    n, many = scores.shape
+    back = np.zeros((n, many), np.int8)
+    total = scores[0].tolist()
+    rows, costs = scores.tolist(), change.tolist()
+    for i in range(1, n):
+        top = max(range(many), key=total.__getitem__)
+        jump = total[top] - costs[i]
+        for k in range(many):
+            if jump > total[k]:
+                back[i, k], total[k] = top, jump
+            else:
+                back[i, k] = k
+            total[k] += rows[i][k]
+    out = np.zeros(n, np.int64)
+    out[-1] = max(range(many), key=total.__getitem__)
+    for i in range(n - 1, 0, -1):
+        out[i - 1] = back[i, out[i]]
+    return out
 
 
-def segments_of(text: str, model: Model) -> list[tuple[str, float, str]]:
-    """The stretches of a prepared text by language: (lang, confidence, text). Neighbouring sentences of one language are joined; what has too few words goes with its neighbour."""
+def _segments(text: str, ready: str, found: dict[str, float], model: Model) -> list[tuple[str, float, int, int]]:
+    """The stretches of a text by the languages that were found in it: (lang, confidence, begin, end), in code points of the text as it stands."""
+    tokens, plain = _tokens(text, ready)
+    langs = sorted(found)
+    if not tokens or not langs:
+        return []
     code = model.coded().__getitem__
-    out: list[tuple[str, float, str]] = []
-    held = ""
-    for m in _SENTENCE.finditer(text):
-        sentence = held + m.group()
-        tokens = sentence.split()
-        values = np.fromiter(map(code, tokens), np.float64, len(tokens))
-        if (values > 0).sum() < LEAST_WORDS:
-            held = sentence
-            continue
-        held = ""
-        families = np.rint(values / 100.0).astype(np.int64)
-        f = int(np.bincount(families, minlength=4)[1:].argmax()) + 1
+    values = np.fromiter(map(code, plain), np.float64, len(plain))
+    families = np.rint(values / 100.0).astype(np.int64)
+    margins = values - 100.0 * families
+    scores = np.zeros((len(tokens), len(langs)))
+    signs = []
+    for k, lang in enumerate(langs):
+        f = next(i for i, members in enumerate(FAMILIES, 1) if lang in members)
         members = FAMILIES[f - 1]
-        total = float((values - 100.0 * families)[families == f].sum())
-        lang = members[0] if total >= 0 or len(members) == 1 else members[1]
-        sure = 1 / (1 + math.exp(-min(abs(total), 30.0)))
-        if out and out[-1][0] == lang:
-            before = out[-1]
-            out[-1] = (lang, max(before[1], sure), before[2] + sentence)
-        else:
-            out.append((lang, sure, sentence))
-    if held.strip():
-        if out:
-            out[-1] = (*out[-1][:2], out[-1][2] + held)
-        else:
-            found = languages(np.fromiter(map(code, held.split()), np.float64, len(held.split())), model.least)
-            if found:
-                out.append((*max(found.items(), key=lambda x: x[1]), held))
+        sign = 1.0 if lang == members[0] else -1.0
+        signs.append((f, sign))
+        both = len(members) > 1 and all(m in found for m in members)
+        scores[:, k] = np.where(families == f, sign * margins if both else 1.0, np.where(families > 0, -1.0, 0.0))
+    between = np.array([False, *(bool(_STOP.search(a.group())) or "\n" in text[a.end() : b.start()] or CONTROL.search(text, a.end(), b.start()) is not None for a, b in itertools.pairwise(tokens))])
+    path = _paths(scores, np.where(between, BETWEEN, WITHIN)) if len(langs) > 1 else np.zeros(len(tokens), np.int64)
+    for k in range(len(langs)):  # a language that was found has its best stretch at least
+        if not (path == k).any():
+            sums = np.concatenate([[0.0], np.cumsum(scores[:, k])])
+            least = np.minimum.accumulate(sums)
+            end = int((sums[1:] - least[:-1]).argmax())
+            path[int(sums[: end + 1].argmin()) : end + 1] = k
+    edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(tokens)]
+    out = []
+    for a, b in itertools.pairwise(edges):
+        f, sign = signs[path[a]]
+        own = families[a:b] == f
+        out.append((langs[path[a]], model.confidence(langs[path[a]], float(sign * margins[a:b][own].sum()), int(own.sum()), int((families[a:b] > 0).sum())), tokens[a].start(), tokens[b - 1].end()))
     return out
 
 
+def _read_whole(many: list[str | None], model: Model) -> Iterator[tuple[int, list[tuple[str, float, int, int]]]]:
+    ready = prepared(many)
+    code = model.coded().__getitem__
+    pages = Pages(ready)
+    for k, (prose, lines) in enumerate(zip(pages.prose().tolist(), pages.prose_lines(), strict=True)):
+        if prose and lines:
+            tokens = " ".join(lines).split()
+            found = languages(np.fromiter(map(code, tokens), np.float64, len(tokens)), model.least, model)
+            yield k, _segments(many[k], ready[k], found, model)
+
+
+def segments_of(text: str, model: Model) -> list[tuple[str, float, int, int]]:
+    """The stretches of a text by language: (lang, confidence, begin, end). A change inside a sentence takes more words than one between sentences; words of no language that the text has go with their neighbours."""
+    return next((found for _, found in _read_whole([text], model)), [])
+
+
 def _segmented(batch: pa.RecordBatch, model: Model) -> Iterator[pa.RecordBatch]:
-    rows = [(i, k, *s) for i, t in zip(batch.column(0).to_pylist(), prepared(texts(batch.column(1))), strict=True) if t for k, s in enumerate(segments_of(t, model))]
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string())
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "segment", "lang", "confidence", "text"])
+    many = texts(batch.column(1))
+    rows = [(k, n, lang, sure, begin, end, many[k][begin:end]) for k, found in _read_whole(many, model) for n, (lang, sure, begin, end) in enumerate(found)]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string())
+    made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+    yield pa.RecordBatch.from_arrays([batch.column(0).take(made[0]), *made[1:]], names=["id", "segment", "lang", "confidence", "begin", "end", "text"])
 
 
 def segments(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(`id_col`, segment, lang, confidence, text): each document's stretches by language, in order. Texts without words give no row."""
+    """(`id_col`, segment, lang, confidence, begin, end, text): each document's stretches by language, in order.
+
+    begin and end count code points of the text as it stands, so `text` is the part
+    between them. The languages are those that mislabelled() finds; documents that it
+    doesn't read (no words, lists, tables or junk) give no row. No shuffle.
+    """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return own.mapInArrow(sliced(lambda batch: _segmented(batch, model), "t"), SEGMENT).withColumnRenamed("id", id_col)
+    return own.mapInArrow(sliced(lambda batch: _segmented(batch, model), "t", 4 << 20), SEGMENT).withColumnRenamed("id", id_col)

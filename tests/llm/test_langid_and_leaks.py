@@ -41,6 +41,59 @@ def test_mixtures_and_names(samples):
     assert [s[0] for s in found] == ["bn", "en"] and all(0.5 <= s[1] <= 1 for s in found)
 
 
+@have
+def test_segments_inside_sentences_and_offsets(samples):
+    model = langid.Model(samples)
+    by = {}
+    for lang, text in samples:
+        by.setdefault(lang, []).append(text)
+    half = by["bn"][0].split()
+    clause = "that the farmers of the village had never seen so much rain before spring"
+    text = " ".join([*half[:4], clause, *half[4:], by["bn"][1]])
+    found = langid.segments_of(text, model)
+    assert [s[0] for s in found] == ["bn", "en", "bn"] and text[found[1][2] : found[1][3]] == clause
+    garbled = by["bn"][3].encode().decode("cp1252", "replace")
+    text = f"<|lang_en|>{by['en'][0]}\u200b  <|lang_bn|>{garbled}\n{by['hi'][0]}"
+    found = langid.segments_of(text, model)
+    assert [s[0] for s in found] == ["en", "bn", "hi"] and all(0.4 <= s[1] < 1 for s in found)
+    assert text[found[2][2] : found[2][3]] == by["hi"][0].strip() and text[found[1][2] : found[1][3]].split() == garbled.split()
+
+
+@have
+def test_confidence_is_calibrated(samples):
+    """Of held-out beginnings of sentences, those of a confidence are right as often as it says, or somewhat more often, as it was learnt from weaker models."""
+    model = langid.Model(samples[::2])
+    seen = []
+    for lang, text in samples[1::2]:
+        if lang in ("hi",):
+            continue
+        for n in (1, 2, 3, 5):
+            words = [w for w in (langid.word_of(t) for t in text.split()[:n]) if langid.family(w)]
+            pair = next(p for p in model.pairs if lang in p)
+            total = sum(model.margin(*pair, w) for w in words)
+            guess = pair[0] if total >= 0 else pair[1]
+            seen.append((model.confidence(guess, abs(total), 98, 98), guess == lang))
+    for low, high in ((0.5, 0.8), (0.8, 0.95), (0.95, 1.0)):
+        own = [(c, ok) for c, ok in seen if low <= c < high]
+        if len(own) >= 30:
+            assert -0.05 < np.mean([ok for _, ok in own]) - np.mean([c for c, _ in own]) < 0.15
+
+
+@have
+def test_segments_have_the_languages_of_the_documents(spark, samples):
+    model = langid.Model(samples)
+    folder = DATA.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) as language_region")
+    found, parts = {}, {}
+    for r in langid.mislabelled(unlabelled, model).collect():
+        found.setdefault(r["doc_id"], set()).add(r["lang"])
+    for r in langid.segments(docs, model).join(docs.selectExpr("doc_id", "text as whole"), "doc_id").collect():
+        parts.setdefault(r["doc_id"], set()).add(r["lang"])
+        assert r["whole"][r["begin"] : r["end"]] == r["text"] and 0 < r["confidence"] < 1
+    assert parts == found
+
+
 @pytest.mark.parametrize(("label", "found", "wrong"), [("BD", {"bn"}, False), ("WB", {"bn"}, False), ("BN_EN_parallel", {"bn", "en"}, False), ("BN_EN_parallel", {"bn"}, True), ("MIX", {"hi", "en"}, False), ("MIX", {"en"}, True), (None, {"bn"}, True), ("", {"bn"}, True), ("und", {"bn"}, True), ("EN", {"en", "bnls"}, True)])
 def test_labels(label, found, wrong):
     assert langid.label_is_wrong(label, found) == wrong
