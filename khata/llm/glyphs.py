@@ -23,13 +23,20 @@ from pyspark.sql import functions as F
 from khata.arrow import sliced, texts
 from khata.session import written
 
-# Letters drawn like a plain one, in the order of the plain ones.
+# Letters drawn like a plain one, in the order of the plain ones. The scope: letters of Cyrillic, Greek, Armenian, Cherokee, Lisu and phonetic
+# script that common fonts give the outline of one ASCII letter in the same case, marks likewise, and dandas. Wide, narrow, styled-by-width and
+# ligature forms, marks and white space follow from the Unicode data. Letters that only resemble each other (I, l and 1; O and 0; rn and m) stay apart.
 LOOKALIKES = {
     "АВЕКМНОРСТУХЅІЈԌԚԜӀѴ": "ABEKMHOPCTYXSIJGQWIV",
     "асеһіјорѕхуԁԛԝӏѵ": "acehijopsxydqwlv",
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX",
     "ανιορυϲϳ": "aviopucj",
     "ɡɑ": "ga",
+    "ҮϹͿ": "YCJ",
+    "ՕօոսհՏ": "OonuhS",
+    "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏆᏙᏚᏞᏟᏢᏦᏴ": "DRTAJEWMHGZIVSLCPKB",
+    "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "BPDTGKJCZFMNLSRVHWXYAEIOU",
+    "−꞉∶ʼ": "-::’",
     "৷": "।",
 }
 # A base and the mark after it, drawn like a single letter.
@@ -249,6 +256,22 @@ def same_looking_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.where("a_id != b_id").select(F.least("a_id", "b_id").alias("doc_a"), F.greatest("a_id", "b_id").alias("doc_b"))
 
 
+def same_looking_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(`id_col`, class_id, text_id, n_links): the documents that look like one of another text, without writing out the pairs.
+
+    `class_id` is the smallest id of all that look alike, `text_id` that of those with
+    the same string, `n_links` how many documents look the same and are different
+    strings. Counts are summed before they travel, and a hot class is a count, not a
+    group in one task.
+    """
+    members = written(looks(docs, id_col, text_col), "looks")
+    look, raw = ["look_hi", "look_lo"], ["raw_hi", "raw_lo"]
+    by_text = members.groupBy(*look, *raw).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("text_id"))
+    by_look = by_text.groupBy(*look).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("strings"), F.min("text_id").alias("class_id")).where("strings > 1").drop("strings")
+    classes = by_text.join(by_look, look).select(*look, *raw, "class_id", "text_id", (F.col("total") - F.col("n")).alias("n_links"))
+    return members.join(classes, [*look, *raw]).select(F.col("id").alias(id_col), "class_id", "text_id", "n_links")
+
+
 def _canonical_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     many = texts(batch.column(1))
     kept = [i for i, t in enumerate(many) if t]

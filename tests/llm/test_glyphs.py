@@ -62,8 +62,20 @@ def test_pairs_against_brute_force(documents):
     assert got == expected and expected
 
 
+def test_classes_count_the_pairs(documents):
+    many = ["a b", "a b", "a\u00a0b", "a\u2009b", "x", "x", None, "", "Thе", "The", "ՕꓐᎪ", "OBA"]
+    df = documents(many)
+    links = {}
+    for a, b in ((r[0], r[1]) for r in glyphs.same_looking_pairs(df).collect()):
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    got = {r["doc_id"]: (r["class_id"], r["text_id"], r["n_links"]) for r in glyphs.same_looking_classes(df).collect()}
+    assert {i: n for i, (_, _, n) in got.items()} == links and len(links) == 8
+    assert got[2] == (1, 1, 2) and got[4] == (1, 4, 3) and got[12][0] == 11
+
+
 def test_no_rows(documents):
     empty = documents(["a"]).limit(0)
+    assert glyphs.same_looking_classes(empty).count() == 0
     assert glyphs.same_looking_pairs(empty).count() == 0
     assert glyphs.canonical_texts(empty).count() == 0
 
