@@ -91,7 +91,7 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_segments, p2_found, p2_classes, p2_canonical, p3_found, p3_stats, p4_found, p4_alignments, p5_doc_tokens, p5_budget, p6_found, p6_collapsed, p6_records, p7_ids, p8_packed, p9_found, p9_restored)
+        for f in (p1_found, p1_segments, p2_found, p2_classes, p2_canonical, p3_found, p3_stats, p4_found, p4_alignments, p5_budget, p5_doc_tokens, p6_found, p6_collapsed, p6_records, p7_ids, p8_packed, p9_found, p9_restored)
     }
 
 
