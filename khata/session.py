@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }
+#: Tables of more bytes are never spread by a shuffle, whatever their partitions.
+SPREAD_BYTES = 1 << 30
 
 
 def session(master: str = "local[*]", name: str = "khata", **conf: str) -> SparkSession:
@@ -27,41 +29,65 @@ def session(master: str = "local[*]", name: str = "khata", **conf: str) -> Spark
     return builder.getOrCreate()
 
 
+def _is_local(master: str) -> bool:
+    """Whether driver and executors are one process and so share every folder."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, only where that is unset, a folder of this process."""
+    """The folder all executors share: spark.checkpoint.dir, or, only where that is unset and the master is local, a folder of this process.
+
+    On a cluster a folder of one machine would be another for each executor, so there the setting must be made.
+    """
     known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not _is_local(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="khata-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
 
 
-def balanced(df: DataFrame) -> DataFrame:
-    """`df` as read, or, where the files give fewer partitions than half the cores, spread over all of them.
+def size_in_bytes(df: DataFrame) -> int:
+    """What Spark takes the size of a table to be; of files, their bytes."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
-    That only ever moves tables of a few files; a large one has its partitions already.
-    """
+
+def balanced(df: DataFrame) -> DataFrame:
+    """`df` as read, or, where it is of at most SPREAD_BYTES and gives fewer partitions than half the cores, spread over all of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+    if 2 * df.rdd.getNumPartitions() > cores or size_in_bytes(df) > SPREAD_BYTES:
+        return df
+    return df.repartition(cores)
 
 
 _written: list[tuple[SparkSession, str]] = []
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone already
-        pass
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, on whatever file system it lies."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-@atexit.register
-def _drop_all() -> None:
-    for spark, path in _written:
-        if path.startswith("file:"):
-            _drop(spark, path)
+def drop_all() -> None:
+    """Deletes what scratch() named so far; called when the process ends."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            drop(spark, path)
+        except Exception:  # the session may be gone already
+            pass
+
+
+atexit.register(drop_all)
+
+
+def scratch(spark: SparkSession, name: str = "step") -> str:
+    """A new place in the shared folder, deleted when the process ends."""
+    path = f"{shared_dir(spark)}/khata/{os.getpid()}-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
@@ -70,8 +96,6 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     Cuts the lineage in a way that survives the loss of executors and keeps later
     stages from computing the input again. The folder goes when the process ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/khata/{os.getpid()}-{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
