@@ -50,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def size_in_bytes(df: DataFrame) -> int:
     """What Spark takes the size of a table to be; of files, their bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def balanced(df: DataFrame) -> DataFrame:
