@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from khata.operators.ingest import DOCUMENT
+from khata.sources import places
 
 _STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
@@ -21,14 +22,24 @@ def parsed(df: DataFrame, raw: str, schema: T.StructType = DOCUMENT, keep: bool
     return own.select(*df.columns, *(F.get("_j", F.lit(0))[f].alias(f) for f in schema.names), *(["valid"] if keep else []))
 
 
-def numbered(df: DataFrame, order: str = "ord") -> DataFrame:
-    """Adds the place of each row as read, from 0. Text sources have no row numbers of their own, hence the RDD."""
-    schema = T.StructType([*df.schema.fields, T.StructField(order, T.LongType())])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+def numbered(spark: SparkSession, path: str, order: str = "ord") -> DataFrame:
+    """(value, order): the lines of text files with their places from 0, files in order of path.
 
+    A line's place is its block's offset plus its number inside the block. Blocks (of
+    files, as Spark splits them) are few, so their offsets take one small window; lines
+    are not sorted.
+    """
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m"))
+    blocks = read.groupBy("_f", "_s").agg(F.min("_m").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.select("_f", "_s", "_lo", before.alias("_o"))
+    return read.join(offsets, ["_f", "_s"]).select("value", (F.col("_o") + F.col("_m") - F.col("_lo")).alias(order))
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT, strict: bool = False) -> DataFrame:
-    """JSON lines. Malformed lines are skipped, or, if strict, stop the query."""
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT, strict: bool = False, missing_ok: bool = False) -> DataFrame:
+    """JSON lines, blank ones left out. Malformed lines are skipped, or, if strict, stop the query. With `missing_ok` a path that isn't there gives no rows."""
+    if missing_ok and not places.exists(spark, path):
+        return spark.createDataFrame([], schema)
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
@@ -46,7 +57,7 @@ def read_scored_tsv(spark: SparkSession, path: str, columns: int = 9) -> DataFra
 
 def read_aligned(spark: SparkSession, first: str, second: str, names: tuple[str, str] = ("bn", "en")) -> DataFrame:
     """Two line files joined by place; the longer one's surplus is left out."""
-    a, b = (numbered(spark.read.text(p)).withColumnRenamed("value", n) for p, n in zip((first, second), names, strict=True))
+    a, b = (numbered(spark, p).withColumnRenamed("value", n) for p, n in zip((first, second), names, strict=True))
     return a.join(b, "ord").select("ord", *names)
 
 
@@ -54,7 +65,7 @@ def read_conll(spark: SparkSession, path: str, separator: str = r"\s+") -> DataF
     """(sentence, tokens, tags) from 'token ... tag' lines; a blank line ends a sentence, -DOCSTART- lines are left out."""
     from khata.operators.ordered import prefix_sum
 
-    own = numbered(spark.read.text(path)).where(~F.col("value").startswith("-DOCSTART-"))
+    own = numbered(spark, path).where(~F.col("value").startswith("-DOCSTART-"))
     blank = F.trim("value") == ""
     own = prefix_sum(own, F.when(blank, 1), "ord", "sentence").where(~blank)
     part = F.split(F.trim("value"), separator)

@@ -69,6 +69,8 @@ def test_parquet_shards_and_reports(spark, tmp_path):
     files.write_parquet_shards(spark.range(1000).coalesce(1), str(tmp_path / "p"), 400, 100)
     got = sorted(pq.ParquetFile(p).metadata.num_rows for p in (tmp_path / "p").glob("*.parquet"))
     assert got == [200, 400, 400]
+    first = pq.ParquetFile(tmp_path / "p" / "data_shard_0000.parquet").metadata
+    assert (first.num_row_groups, first.row_group(0).num_rows, first.row_group(0).column(0).compression) == (4, 100, "ZSTD")
     files.write_jsonl(spark.createDataFrame([(1, None)], "a INT, b STRING"), str(tmp_path / "j"))
     assert json.loads("".join(p.read_text() for p in (tmp_path / "j").glob("*.json"))) == {"a": 1, "b": None}
     assert not files.write_if_any(spark.range(0), str(tmp_path / "none"))
@@ -113,3 +115,69 @@ def test_first_seen_budget_and_windows(spark, tmp_path, rows):
     assert rows(run(ingest.within_budget(stream(), "g", "w", "i", 7), "budget").select("g", "i")) == [("a", 0), ("a", 1), ("b", 4), ("b", 5)]
     windows = ingest.windowed_counts(stream(), "ts", ["g"], "4 minutes", "0 seconds")
     assert rows(run(windows, "windows").select("g", "n"))[:1] == [("a", 4)]
+
+
+def test_npy_shards_of_two_tasks_are_an_error(spark, tmp_path):
+    npy.register(spark)
+    df = spark.createDataFrame([(0, k, [k, k]) for k in range(8)], npy.SCHEMA).repartition(4, "seq")
+    with pytest.raises(Exception, match="more than one task"):
+        df.write.format("npy_shards").mode("overwrite").save(str(tmp_path / "twice"))
+    assert not list((tmp_path / "twice").glob("*"))
+
+
+@pytest.mark.parametrize("bad", [[1, 2, 3], [70000, 1], [-1, 1]])
+def test_npy_refuses_what_it_cannot_hold(spark, tmp_path, bad):
+    npy.register(spark)
+    df = spark.createDataFrame([(0, 0, [1, 2]), (0, 1, bad)], npy.SCHEMA).coalesce(1)
+    with pytest.raises(Exception):
+        df.write.format("npy_shards").mode("overwrite").save(str(tmp_path / "bad"))
+
+
+def test_npy_overwrite_in_any_order_of_rows(spark, tmp_path):
+    npy.register(spark)
+    out = str(tmp_path / "o")
+    for n in (3, 2):
+        rows = [(s, k, [s * 10 + k] * 4) for s in range(n) for k in range(5)]
+        spark.createDataFrame(rows[::-1], npy.SCHEMA).repartition(n, "shard").write.format("npy_shards").mode("overwrite").save(out)
+        assert sorted(tuple(r) for r in spark.read.format("npy_shards").load(out).collect()) == rows
+
+
+def test_missing_files_line_counts_and_splits(spark, tmp_path):
+    assert lines.read_jsonl(spark, str(tmp_path / "none.jsonl"), missing_ok=True).count() == 0
+    (tmp_path / "train.txt").write_text("a\nb\r\n\nc")
+    (tmp_path / "x_dev.txt").write_text("a\n")
+    (tmp_path / "empty.txt").write_text("")
+    assert [files.line_count(spark, str(tmp_path / n)) for n in ("train.txt", "x_dev.txt", "empty.txt", "*.txt")] == [3, 1, 0, 4]
+    assert {k: v.rsplit("/", 1)[-1] for k, v in files.split_files(spark, str(tmp_path)).items()} == {"train": "train.txt", "validation": "x_dev.txt"}
+    assert files.existing(spark, {"a": str(tmp_path / "train.txt"), "b": str(tmp_path / "no")}) == {"a": str(tmp_path / "train.txt")}
+    files.concatenated(spark, [str(tmp_path / "x_dev.txt"), str(tmp_path / "train.txt")], str(tmp_path / "all"), remove=True)
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "all")).collect()) == ["", "a", "a", "b", "c"] and not (tmp_path / "train.txt").exists()
+
+
+def test_sources_until_the_budget_is_met(spark, rows):
+    opened = []
+
+    def source(name, *weights):
+        def open_():
+            opened.append(name)
+            return spark.createDataFrame([(k, w) for k, w in enumerate(weights)], "i INT, w INT") if weights else spark.read.parquet("/none/such")
+
+        return open_
+
+    got = files.until_met([source("a", 5, 5), source("b"), source("c", 3, 3, 3), source("d", 1)], "w", "i", 14)
+    assert rows(got.select("priority", "i")) == [(0, 0), (0, 1), (1, 0), (1, 1)] and opened == ["a", "b", "c"]
+    assert files.until_met([source("a", 5), source("d", 1)], "w", "i", 0).count() == 2
+
+
+def test_dry_runs_and_reports(spark, tmp_path):
+    df = spark.createDataFrame([("x", 2), ("y", None)], "text STRING, word_count INT")
+    assert files.write_or_count(df, str(tmp_path / "w"), dry=True) == {"docs": 2, "words": 2} and not (tmp_path / "w").exists()
+    assert files.write_or_count(df, str(tmp_path / "w")) == {"docs": 2, "words": 2} and spark.read.json(str(tmp_path / "w")).count() == 2
+    assert files.write_if_any(df, str(tmp_path / "some")) and not (files.write_if_any(df.limit(0), str(tmp_path / "no")) or (tmp_path / "no").exists())
+    import datetime
+
+    path = files.stamped_name(str(tmp_path), "report", "json", datetime.datetime(2024, 1, 2, 3, 4, 5))
+    files.write_report({"a": {"x": 1}, "b": {"y": 2.5}}, path)
+    assert path.endswith("report_20240102_030405.json")
+    report = files.read_report(str(tmp_path / "report.json"), str(tmp_path / "other_*.json"), str(tmp_path / "report_*.json"))
+    assert [tuple(r) for r in files.report_rows(spark, report).collect()] == [("a", 1, None), ("b", None, 2.5)]
