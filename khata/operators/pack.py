@@ -24,15 +24,16 @@ def token_ids(text: str | Column, end: bool = True) -> Column:
     return F.concat(ids, F.array(F.lit(EOS))) if end else ids
 
 
-def packed(docs: DataFrame, ids: str, order: str, length: int = LENGTH, per_shard: int = 100_000) -> DataFrame:
+def packed(docs: DataFrame, ids: str | Column, order: str, length: int = LENGTH, per_shard: int = 100_000, size: Column | None = None) -> DataFrame:
     """(shard, seq, input_ids): all ids in order cut into sequences of `length`; the tail is discarded.
 
     Only slices of the documents' arrays are shuffled, one for each sequence that a
-    document reaches into. Null and empty arrays add nothing.
+    document reaches into. Null and empty arrays add nothing. `size`, how many ids a
+    document has, keeps the sums of lengths from making the ids a second time.
     """
-    own = docs.where(F.size(ids) > 0).select(order, F.col(ids).alias("ids"), F.size(ids).alias("n"))
-    at = prefix_sum(own.select(order, "n"), "n", order, "start").select(order, "start")
-    own = own.join(at, order)
+    made = F.col(ids) if isinstance(ids, str) else ids
+    at = prefix_sum(docs.select(order, F.coalesce(F.size(made) if size is None else size, F.lit(0)).alias("n")).where("n > 0"), "n", order, "start").select(order, "start")
+    own = docs.select(order, made.alias("ids")).join(at, order).withColumn("n", F.size("ids"))
     first, last = F.expr(f"start div {length}"), F.expr(f"(start + n - 1) div {length}")
     pieces = own.select("start", "n", "ids", F.explode(F.sequence(first, last)).alias("seq"))
     begin = F.greatest(F.expr(f"seq * {length} - start"), F.lit(0))
@@ -60,8 +61,9 @@ def densities(seqs: DataFrame) -> DataFrame:
 
 
 def padding_ratio(seqs: DataFrame) -> DataFrame:
-    own = densities(seqs).join(seqs.select("shard", "seq", F.size("input_ids").alias("n")), ["shard", "seq"])
-    return own.groupBy("shard").agg((F.sum("n_pad").cast("double") / F.sum("n")).alias("padding"))
+    """By shard the share of padding among all ids."""
+    pads = F.size(F.filter("input_ids", lambda x: x == PAD))
+    return seqs.groupBy("shard").agg((F.sum(pads).cast("double") / F.sum(F.size("input_ids"))).alias("padding"))
 
 
 def segment_lengths(seqs: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,22 +72,53 @@ def entity_f1(df: DataFrame, keys: list[str], truth: str, guess: str) -> DataFra
     return all_.select(share("hits", "guesses").alias("precision"), share("hits", "truths").alias("recall"), f1.alias("f1"))
 
 
+def clipped(units: np.ndarray, side: np.ndarray, pairs: int, most: int) -> np.ndarray:
+    """Of many pairs of sequences at once, one after another in `units` (numbers), `side` being 2 x pair + 0 or 1: for each pair and n up to `most` the clipped matches, n-grams of the one and of the other."""
+    out = np.zeros((pairs, most, 3), np.int64)
+    many = int(units.max()) + 1 if len(units) else 1
+    gram = units
+    for n in range(1, most + 1):
+        if n > 1:
+            gram = np.unique(gram[:-1] * many + units[n - 1 :], return_inverse=True)[1] if len(gram) > 1 else gram[:0]
+        whole = side[: len(gram)] == side[n - 1 : n - 1 + len(gram)]
+        own, which = side[: len(gram)][whole], gram[whole]
+        if not len(own):
+            break
+        keys, at = np.unique((own >> 1) * (int(which.max()) + 1) + which, return_inverse=True)
+        pair = keys // (int(which.max()) + 1)
+        first = np.bincount(at, own & 1 == 0, len(keys))
+        second = np.bincount(at, own & 1, len(keys))
+        for k, counts in enumerate((np.minimum(first, second), first, second)):
+            out[:, n - 1, k] = np.bincount(pair, counts, pairs)
+    return out
+
+
+def _sequences(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The units of two columns of word lists or strings as numbers, first and second of each pair in turn, and the side of each."""
+    n = len(a)
+    if pa.types.is_string(a.type) or pa.types.is_large_string(a.type):
+        parts = [t or "" for both in zip(a.to_pylist(), b.to_pylist(), strict=True) for t in both]
+        lengths = np.fromiter(map(len, parts), np.int64, 2 * n)
+        units = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.int32).astype(np.int64)
+        return units, np.repeat(np.arange(2 * n), lengths)
+    sides = []
+    for k, column in enumerate((a, b)):
+        lengths = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+        sides.append((column.flatten(), np.repeat(np.arange(n) * 2 + k, lengths)))
+    words_ = pa.concat_arrays([x for x, _ in sides]).dictionary_encode()
+    at = np.concatenate([x for _, x in sides])
+    order = np.argsort(at, kind="stable")
+    return words_.indices.to_numpy(zero_copy_only=False).astype(np.int64)[order], at[order]
+
+
 def _counts(most: int):
-    """For each pair of token lists and each n up to `most`: clipped matches, n-grams of the one and of the other, one after another."""
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def count(a, b):
-        import pandas as pd
-
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = ([] if v is None else list(v) for v in (x, y))
-            row = []
-            for n in range(1, most + 1):
-                u, v = (Counter(zip(*(z[k:] for k in range(n)))) for z in (x, y))
-                row += [(u & v).total(), u.total(), v.total()]
-            out.append(row)
-        return pd.Series(out)
+    """For each pair of word lists or strings and each n up to `most`: clipped matches, n-grams of the one and of the other, one after another; all pairs of a batch together."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def count(a: pa.Array, b: pa.Array) -> pa.Array:
+        units, side = _sequences(a, b)
+        made = clipped(units, side, len(a), most)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * (3 * most)), pa.array(made.ravel()))
 
     return count
 
@@ -114,33 +146,42 @@ def bleu(df: DataFrame, key: str, guess: str, truth: str, most: int = 4) -> Data
 
 def chrf(df: DataFrame, key: str, guess: str, truth: str, most: int = 6, beta: float = 2.0) -> DataFrame:
     """One row: corpus chrF (0-100) on letters without white space, mean of precision and of recall over the orders."""
-    signs = lambda c: F.filter(F.split(F.regexp_replace(c, r"\s+", ""), ""), lambda x: x != "")
+    signs = lambda c: F.regexp_replace(c, r"\s+", "")
     n = ngram_matches(df, key, signs(guess), signs(truth), most).groupBy("n").agg(F.sum("matches").alias("m"), F.sum("guesses").alias("g"), F.sum("truths").alias("t"))
     ok = n.where("g > 0 AND t > 0").agg(F.avg(F.col("m").cast("double") / F.col("g")).alias("p"), F.avg(F.col("m").cast("double") / F.col("t")).alias("r"))
     f = F.coalesce((1 + beta**2) * F.col("p") * F.col("r") / F.nullif(beta**2 * F.col("p") + F.col("r"), F.lit(0.0)), F.lit(0.0))
     return ok.select((F.lit(100.0) * f).alias("chrf"))
 
 
-@F.pandas_udf(T.IntegerType())
-def _common_length(a, b):
-    """The length of the longest common subsequence of two word lists."""
-    import pandas as pd
-
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = ([] if v is None else list(v) for v in (x, y))
-        if not x or not y:
-            out.append(0)
-            continue
-        index = {w: k for k, w in enumerate(dict.fromkeys(x + y))}
-        u, v = np.array([index[w] for w in x]), np.array([index[w] for w in y])
-        row = np.zeros(len(v) + 1, np.int32)
-        for w in u:
+#: Pairs whose longest common subsequences are found at once.
+TOGETHER = 2048
+
+
+def common_lengths(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """The length of the longest common subsequence of each pair of number sequences, many pairs at once."""
+    out = np.zeros(len(first), np.int32)
+    order = sorted(range(len(first)), key=lambda k: (len(first[k]) // 16, len(second[k])))
+    for s in range(0, len(order), TOGETHER):
+        own = order[s : s + TOGETHER]
+        rows, cols = max(len(first[k]) for k in own), max(len(second[k]) for k in own)
+        a, b = np.full((rows, len(own)), -1, np.int64), np.full((cols, len(own)), -2, np.int64)
+        for i, k in enumerate(own):
+            a[: len(first[k]), i], b[: len(second[k]), i] = first[k], second[k]
+        row = np.zeros((cols + 1, len(own)), np.int32)
+        for word in a:
             new = row.copy()
-            new[1:] = np.maximum(row[1:], np.where(v == w, row[:-1] + 1, 0))
-            row = np.maximum.accumulate(new)
-        out.append(int(row[-1]))
-    return pd.Series(out)
+            new[1:] = np.maximum(row[1:], np.where(b == word, row[:-1] + 1, 0))
+            row = np.maximum.accumulate(new, axis=0)
+        out[own] = row[-1]
+    return out
+
+
+@F.arrow_udf(T.IntegerType())
+def _common_length(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The length of the longest common subsequence of two word lists."""
+    units, side = _sequences(a, b)
+    parts = np.split(units, np.searchsorted(side, np.arange(1, 2 * len(a))))
+    return pa.array(common_lengths(parts[::2], parts[1::2]), pa.int32())
 
 
 def rouge(df: DataFrame, key: str, guess: str, truth: str) -> DataFrame:

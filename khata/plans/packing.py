@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from khata.functions.text import word_count
 from khata.operators import pack
 from khata.plans.common import SOURCED, Registry, sourced, sql_count, sql_words, table
 
@@ -19,8 +20,8 @@ _COUNTS = f"(SELECT shard, token, count(*) AS n FROM {_LONG} GROUP BY ALL)"
 
 
 def _seqs(spark, folder):
-    docs = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", pack.token_ids("text").alias("ids"))
-    return pack.packed(docs, "ids", "doc_id", per_shard=PER_SHARD)
+    docs = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    return pack.packed(docs, pack.token_ids("text"), "doc_id", per_shard=PER_SHARD, size=word_count("text") + 1)
 
 
 @R.add(f"SELECT doc_id, {_IDS} AS ids FROM documents WHERE text IS NOT NULL")
@@ -36,8 +37,6 @@ def tokens_rollup(spark, folder):
 
 @R.add(f"SELECT name, CAST(sum(n + 1) AS DOUBLE) / sum(n) AS per_word FROM (SELECT name, {sql_count('text')} AS n FROM {SOURCED} WHERE text IS NOT NULL) GROUP BY name")
 def tokens_per_word(spark, folder):
-    from khata.functions.text import word_count
-
     own = sourced(spark, folder).where("text IS NOT NULL").select("name", F.size(pack.token_ids("text")).alias("t"), word_count("text").alias("w"))
     return own.groupBy("name").agg((F.sum("t").cast("double") / F.sum("w")).alias("per_word"))
 
