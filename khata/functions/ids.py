@@ -52,9 +52,15 @@ def tag_names(ids: str | Column, names: list[str], other: str = "O") -> Column:
     return F.transform(_col(ids), lambda k: F.coalesce(F.get(table, k), F.lit(other)))
 
 
-def located(places: DataFrame, at: str, shards: DataFrame) -> DataFrame:
-    """(at, shard, row) of global places, `shards` being (shard, start, stop), few and in order: a range join that Spark broadcasts by size."""
-    return places.join(shards, (F.col(at) >= F.col("start")) & (F.col(at) < F.col("stop"))).select(at, "shard", (F.col(at) - F.col("start")).alias("row"))
+def located(places: DataFrame, at: str, shards: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """(at, shard, row) of global places, `shards` being (shard, start, stop) without overlap.
+
+    Both sides are joined by blocks of `block` places, so the join has a key: a shard
+    is in each block that it reaches into.
+    """
+    spread = shards.where("stop > start").withColumn("_block", F.explode(F.expr(f"sequence(cast(start div {block} as bigint), cast((stop - 1) div {block} as bigint))")))
+    own = places.withColumn("_block", F.expr(f"cast(`{at}` div {block} as bigint)"))
+    return own.join(spread, "_block").where((F.col(at) >= F.col("start")) & (F.col(at) < F.col("stop"))).select(at, "shard", (F.col(at) - F.col("start")).alias("row"))
 
 
 def contains_answer(given: str | Column, expected: str | Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +20,20 @@ def chat(messages: DataFrame, by: list[str], ask: bool = False) -> DataFrame:
 
 
 def filled(template: str, **fields: str | Column) -> Column:
-    """A template with its {names} replaced by columns."""
-    out = F.lit(template)
-    for name, value in fields.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.col(value) if isinstance(value, str) else value)
-    return out
+    """A template with its {names} replaced by columns; what a value holds is never expanded. Null if a value that the template names is null."""
+    parts = re.split(r"\{(" + "|".join(map(re.escape, fields)) + r")\}", template) if fields else [template]
+    return F.concat(*(F.lit(p) if k % 2 == 0 else (F.col(fields[p]) if isinstance(fields[p], str) else fields[p]) for k, p in enumerate(parts)))
+
+
+def few_shot(template: str, examples: list[dict[str, str]] | None = None, between: str = "\n\n", **fields: str | Column) -> Column:
+    """A filled template after the same template filled with examples, or, with none, alone."""
+    shown = [template.format_map(e) + between for e in examples or []]
+    return F.concat(F.lit("".join(shown)), filled(template, **fields))
+
+
+def joined_pair(first: str | Column, second: str | Column, between: str = " । ") -> Column:
+    """Two sentences as one text."""
+    return F.concat(*(F.col(c) if isinstance(c, str) else c for c in (first,)), F.lit(between), *(F.col(c) if isinstance(c, str) else c for c in (second,)))
 
 
 def cleaned_article(text: str | Column, least: int = 40, markup: str = "|") -> Column:

@@ -41,11 +41,12 @@ def attribution(rows: DataFrame, source: str = "source") -> DataFrame:
 
 def against_base(increment: DataFrame, base: DataFrame, key: str = "h", order: str = "doc_id") -> DataFrame:
     """Adds `state` to the increment: 'empty' for a null key, 'base' for one that the base holds, 'self' for a repeat of an earlier row, else 'kept'. The base comes before a repeat."""
-    known = base.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_known", F.lit(True))
-    own = increment.join(known, key, "left")
-    first = own.where(F.col("_known").isNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_first"))
+    known = base.select(F.col(key).alias("_k")).where("_k IS NOT NULL").distinct().withColumn("_known", F.lit(True))
+    # rows without a key get one of their own, so that they don't gather in one task
+    own = increment.withColumn("_k", F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col(order).cast("string")))).join(known, "_k", "left")
+    first = own.where(F.col("_known").isNull() & F.col(key).isNotNull()).groupBy("_k").agg(F.min(order).alias("_first"))
     state = F.when(F.col(key).isNull(), "empty").when(F.col("_known"), "base").when(F.col(order) > F.col("_first"), "self").otherwise("kept")
-    return own.join(first, key, "left").withColumn("state", state).drop("_known", "_first")
+    return own.join(first, "_k", "left").withColumn("state", state).drop("_known", "_first", "_k")
 
 
 def group_sizes(docs: DataFrame, key: Column) -> DataFrame:

@@ -57,9 +57,11 @@ def region_gated(docs: DataFrame, policy: str = "drop_and_collect") -> DataFrame
 
 def normalize_segments(text: str | Column) -> Column:
     """struct<text, failed>: only what follows a Bangla tag is normalized; failed words are dropped and listed by segment order."""
-    parts = F.transform(segments(text), lambda s: F.struct(s["tag"].alias("tag"), s["body"].alias("body"), F.filter(F.when(s["tag"] == BN, words(s["body"])).otherwise(F.array().cast("array<string>")), lambda w: fails(w)).alias("bad")))
-    clean = F.transform(parts, lambda s: F.concat(s["tag"], F.when(s["tag"] == BN, F.array_join(F.filter(words(cleaned(s["body"])), lambda w: ~fails(w)), " ")).otherwise(s["body"])))
-    return F.struct(F.array_join(clean, "").alias("text"), F.flatten(F.transform(parts, lambda s: s["bad"])).alias("failed"))
+    # control tokens are ASCII, so the text and its NFC form have the same segments
+    both = F.arrays_zip(segments(text).alias("raw"), segments(nfc(text)).alias("nfc"))
+    parts = F.transform(both, lambda s: F.struct(s["raw"]["tag"].alias("tag"), s["raw"]["body"].alias("body"), F.when(s["raw"]["tag"] == BN, words(cleaned(s["nfc"]["body"]))).otherwise(F.array().cast("array<string>")).alias("words")))
+    done = F.transform(parts, lambda s: F.concat(s["tag"], F.when(s["tag"] == BN, F.array_join(F.filter(s["words"], lambda w: ~fails(w)), " ")).otherwise(s["body"])))
+    return F.struct(F.array_join(done, "").alias("text"), F.filter(F.flatten(F.transform(parts, lambda s: s["words"])), lambda w: fails(w)).alias("failed"))
 
 
 # Signs of the failure classes.

@@ -9,17 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Orders (ids, line numbers) in one bucket of a prefix sum.
+#: Rows in one bucket of a prefix sum, about.
 BUCKET = 50_000
 
 
-def prefix_sum(df: DataFrame, weight: str | Column, order: str, name: str, within: list[str] | None = None, bucket: int = BUCKET, ties: list[str] | None = None) -> DataFrame:
+def bucket_of(df: DataFrame, order: str, rows: int = BUCKET) -> Column:
+    """The bucket of each row's `order`, a number: equal spans between the least and the greatest, as many as give about `rows` rows each. Takes one pass over that column."""
+    seen = df.agg(F.min(order).cast("double").alias("a"), F.max(order).cast("double").alias("b"), F.count(order).alias("n")).first()
+    low, high = seen["a"] or 0.0, seen["b"] or 0.0
+    width = (high - low) / max(1, -(-seen["n"] // rows)) or 1.0
+    return F.floor((F.col(order).cast("double") - F.lit(low)) / F.lit(width))
+
+
+def prefix_sum(df: DataFrame, weight: str | Column, order: str, name: str, within: list[str] | None = None, bucket: int | None = None, ties: list[str] | None = None) -> DataFrame:
     """Adds `name`: the sum of `weight` over the rows before each row in `order`, a number, within groups; `ties` orders equal ones.
 
-    Null weights count as 0. Two shuffles: one of bucket totals, one by bucket.
+    Null weights count as 0. Two shuffles: one of bucket totals, one by bucket. Buckets
+    follow the order's range and number of rows (dense ids, hashes and fractions alike),
+    unless `bucket` says the span of each.
     """
     keys = within or []
-    own = df.withColumn("_w", F.coalesce(F.col(weight) if isinstance(weight, str) else weight, F.lit(0)).cast("bigint")).withColumn("_b", F.floor(F.col(order) / bucket))
+    own = df.withColumn("_w", F.coalesce(F.col(weight) if isinstance(weight, str) else weight, F.lit(0)).cast("bigint")).withColumn("_b", bucket_of(df, order) if bucket is None else F.floor(F.col(order) / bucket))
     totals = own.groupBy(*keys, "_b").agg(F.sum("_w").alias("_t"))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_o", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t")

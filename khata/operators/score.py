@@ -75,11 +75,15 @@ def entity_f1(df: DataFrame, keys: list[str], truth: str, guess: str) -> DataFra
 def clipped(units: np.ndarray, side: np.ndarray, pairs: int, most: int) -> np.ndarray:
     """Of many pairs of sequences at once, one after another in `units` (numbers), `side` being 2 x pair + 0 or 1: for each pair and n up to `most` the clipped matches, n-grams of the one and of the other."""
     out = np.zeros((pairs, most, 3), np.int64)
+    units = np.unique(units, return_inverse=True)[1]
     many = int(units.max()) + 1 if len(units) else 1
-    gram = units
+    gram, span = units, many
     for n in range(1, most + 1):
         if n > 1:
-            gram = np.unique(gram[:-1] * many + units[n - 1 :], return_inverse=True)[1] if len(gram) > 1 else gram[:0]
+            if 2 * pairs * span * many >= 1 << 62:  # numbers of n-grams that have become too large are given anew
+                gram = np.unique(gram, return_inverse=True)[1]
+                span = int(gram.max()) + 1 if len(gram) else 1
+            gram, span = gram[:-1] * many + units[n - 1 :], span * many
         whole = side[: len(gram)] == side[n - 1 : n - 1 + len(gram)]
         own, which = side[: len(gram)][whole], gram[whole]
         if not len(own):

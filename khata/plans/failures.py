@@ -93,7 +93,15 @@ def bn_strict_drop(spark, folder):
     return own.where(F.size("failed") == 0).select("doc_id")
 
 
-@R.add()
+_CUT = "list_filter(string_split(regexp_replace(text, '(<\\|[^>]+\\|>)', chr(1) || '\\1', 'g'), chr(1)), lambda x: x <> '')"
+_BODY = "regexp_replace(part, '^<\\|lang_bn\\|>', '')"
+_OWN = sql_words(_CLEAN.replace("nfc_normalize(text)", f"nfc_normalize({_BODY})"))
+
+
+@R.add(
+    f"""SELECT doc_id, coalesce(string_agg(done, '' ORDER BY i), '') AS text, CAST(coalesce(sum(bad), 0) AS INTEGER) AS failed FROM (SELECT doc_id, i, CASE WHEN own IS NULL THEN part ELSE '<|lang_bn|>' || array_to_string([w FOR w IN own IF NOT {_BAD}], ' ') END AS done, len([w FOR w IN own IF {_BAD}]) AS bad
+    FROM (SELECT doc_id, i, part, CASE WHEN starts_with(part, '<|lang_bn|>') THEN {_OWN} END AS own FROM (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS part FROM (SELECT doc_id, CASE WHEN len({_CUT}) = 0 THEN [''] ELSE {_CUT} END AS p FROM documents WHERE text IS NOT NULL)))) GROUP BY doc_id"""
+)
 def segment_normalize(spark, folder):
     own = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", N.normalize_segments("text").alias("n"))
     return own.select("doc_id", "n.text", F.size("n.failed").alias("failed"))

@@ -289,8 +289,9 @@ def _shards(spark, folder):
     """Files named after their domain, with their lines."""
     base = F.element_at(F.split("file", "/"), -1)
     files = table(spark, folder, "raw_lines").groupBy(base.alias("base")).agg(F.count(F.lit(1)).alias("lines"))
-    known = table(spark, folder, "sources").select("source", F.col("domain").alias("d"))
-    return files.join(known, F.col("base").startswith(F.col("source")), "left").select(F.concat(F.coalesce("d", F.lit("other")), F.lit("_"), "base").alias("f"), "lines")
+    known = table(spark, folder, "sources").select(F.col("source").alias("key"), F.col("domain").alias("d"))
+    files = files.withColumn("key", F.regexp_replace("base", r"(_[0-9]+)?\.jsonl$", ""))
+    return files.join(known, "key", "left").select(F.concat(F.coalesce("d", F.lit("other")), F.lit("_"), "base").alias("f"), "lines")
 
 
 @R.add(f"SELECT domain, lines, CAST(lines AS DOUBLE) / sum(lines) OVER () AS share FROM (SELECT {_DOMAIN} AS domain, count(*) AS lines FROM {_NAMED} GROUP BY 1)")

@@ -37,24 +37,31 @@ def windowed_counts(stream: DataFrame, event_time: str, by: list[str], length: s
 
 
 def within_budget(stream: DataFrame, group: str, weight: str, order: str, budget: int) -> DataFrame:
-    """(group, order, weight): rows of each group until `budget` is used, in arrival order of batches and by `order` within one; the last row may overshoot."""
+    """(group, order, weight): rows of each group until `budget` is used, in arrival order of batches and by `order` within one; the last row may overshoot. Weights are not negative; rows of weight 0 after the budget is met are left out."""
     schema = stream.select(group, order, weight).schema
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(order)
-        sums = rows[weight].fillna(0).astype("int64").cumsum()
-        before = used + sums - rows[weight].fillna(0).astype("int64")
-        state.update((int(used + (sums.iloc[-1] if len(rows) else 0)),))
-        yield rows.loc[before < budget, [group, order, weight]]
+        held: pd.DataFrame | None = None
+        total = 0
+        for frame in frames:
+            own = frame[weight].fillna(0).astype("int64")
+            total += int(own.sum())
+            rows = frame.assign(_w=own) if held is None else pd.concat([held, frame.assign(_w=own)])
+            rows = rows.sort_values(order, kind="stable")
+            # rows beyond the budget can only move further back, so what is held is bounded by the budget
+            held = rows.loc[used + rows["_w"].cumsum() - rows["_w"] < budget]
+        state.update((used + total,))
+        if held is not None:
+            yield held[[group, order, weight]]
 
     return stream.select(group, order, weight).groupBy(group).applyInPandasWithState(keep, schema, "used BIGINT", "append", GroupStateTimeout.NoTimeout)
 
 
 def into_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends metric rows batch by batch, under their number of batch."""
+    """Appends metric rows batch by batch, each batch a partition of its own (`batch`), so that one that comes again takes its own place."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
