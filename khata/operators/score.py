@@ -244,3 +244,31 @@ def needle_prompts(haystacks: DataFrame, ids: str, needle: Column, lengths: list
     return each.select(*haystacks.columns, "_g.context_length", "_g.needle_depth", prompt.alias("prompt")).withColumn("actual_tokens", F.size("prompt"))
 
 
+
+
+def throughput(log: DataFrame, by: list[str], time: str, tokens: str, goal: int, most_gap: int, ties: list[str] | None = None) -> DataFrame:
+    """Adds to each step of a log, by group in order of time: tokens so far, elapsed_s without gaps of more than `most_gap` seconds (restarts), tokens_per_s and eta_s until `goal` tokens; null while nothing has elapsed."""
+    over = Window.partitionBy(*by).orderBy(time, *(ties or []))
+    gap = F.coalesce(F.unix_micros(time) - F.lag(F.unix_micros(time)).over(over), F.lit(0))
+    own = log.withColumn("_gap", gap).withColumn("tokens", F.sum(tokens).over(over).cast("double")).withColumn("elapsed_s", F.sum(F.when(F.col("_gap") <= most_gap * 1_000_000, F.col("_gap")).otherwise(0)).over(over).cast("double") / 1_000_000)
+    rate = F.when(F.col("elapsed_s") > 0, F.col("tokens") / F.col("elapsed_s"))
+    left = F.greatest(F.lit(float(goal)) - F.col("tokens"), F.lit(0.0))
+    return own.withColumn("tokens_per_s", rate).withColumn("eta_s", F.when((F.col("tokens") > 0) & (F.col("elapsed_s") > 0), left / (F.col("tokens") / F.col("elapsed_s")))).drop("_gap")
+
+
+def looked_up(df: DataFrame, grid: list[tuple], keys: list[str], shown: Column, none: str = "N/A") -> DataFrame:
+    """(place, keys, shown): the configured keys in their order, each with its row's value as text, or `none`."""
+    rows = [(k, *values) for k, values in enumerate(grid)]
+    places = df.sparkSession.createDataFrame(rows, f"place INT, {', '.join(f'{k} STRING' for k in keys)}")
+    return places.join(df.select(*keys, shown.alias("_shown")), keys, "left").select("place", *keys, F.coalesce("_shown", F.lit(none)).alias("shown"))
+
+
+def without_skipped(df: DataFrame, flag: str = "skipped") -> DataFrame:
+    """The rows whose flag isn't set; a null flag is none."""
+    return df.where(~F.coalesce(F.col(flag).cast("boolean"), F.lit(False)))
+
+
+def labelled(name: str | Column, labels: dict[str, str]) -> Column:
+    """The label of a name; one without a label goes by itself."""
+    c = F.col(name) if isinstance(name, str) else name
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)), c), c)

@@ -200,6 +200,12 @@ def dup_summary(spark, folder):
     return dedup.summary(table(spark, folder, "documents"), dedup.digest("text", False))
 
 
+@R.add("SELECT copies, count(*) AS groups FROM (SELECT count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY md5(text)) GROUP BY copies ORDER BY groups DESC, copies LIMIT 10")
+def top_group_sizes(spark, folder):
+    """The ten most frequent sizes of groups of equal texts (a top-k report)."""
+    return dedup.group_sizes(table(spark, folder, "documents"), dedup.digest("text", False)).orderBy(F.desc("groups"), "copies").limit(10)
+
+
 @R.add("SELECT copies, count(*) AS groups FROM (SELECT count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY md5(text)) GROUP BY copies")
 def dup_group_sizes(spark, folder):
     return dedup.group_sizes(table(spark, folder, "documents"), dedup.digest("text", False))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from khata.plans import documents, failures, formats, packing, pairs, scores, small, streams
+from khata.plans import documents, failures, formats, packing, pairs, scores, small, streams, tokenizers
 
-PARTS = (documents.R, pairs.R, failures.R, packing.R, scores.R, small.R, streams.R, formats.R)
+PARTS = (documents.R, pairs.R, failures.R, packing.R, scores.R, small.R, streams.R, formats.R, tokenizers.R)
 
 
 def queries() -> dict[str, Callable]:

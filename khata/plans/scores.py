@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from khata.functions import ids as I
 from khata.functions import text as X
 from khata.operators import pack, score
 from khata.operators.dedup import ranked
@@ -148,6 +149,15 @@ def rouge_ngrams(spark, folder):
     return own.select(F.round("rouge1", 7).alias("rouge1"), F.round("rouge2", 7).alias("rouge2"))
 
 
+@R.add(
+    f"""WITH RECURSIVE w AS (SELECT k, a, b FROM {_LOWER}), r AS (SELECT k, 0 AS i, [0 FOR j IN range(len(b) + 1)] AS cells FROM w UNION ALL
+    SELECT k, i + 1, list_prepend(0, [list_max(c[1:j]) FOR j IN range(1, len(b) + 1)]) FROM (SELECT r.k, i, w.b, [greatest(cells[j + 1], CASE WHEN w.b[j] = w.a[i + 1] THEN cells[j] + 1 ELSE 0 END) FOR j IN range(1, len(w.b) + 1)] AS c FROM r JOIN w ON r.k = w.k WHERE i < len(w.a)))
+    SELECT round(avg(CASE WHEN len(a) + len(b) > 0 THEN CAST(2.0 AS DOUBLE) * cells[len(cells)] / (len(a) + len(b)) ELSE CAST(0 AS DOUBLE) END), 7) AS rouge_l FROM r JOIN w ON r.k = w.k WHERE i = len(a)"""
+)
+def rouge_longest(spark, folder):
+    return score.rouge(_translated(spark, folder), "pair_id", "guess", "truth").select(F.round("rouge_l", 7).alias("rouge_l"))
+
+
 @R.add()
 def rouge(spark, folder):
     return score.rouge(_translated(spark, folder), "pair_id", "guess", "truth")
@@ -171,7 +181,10 @@ def entity_f1(spark, folder):
     return score.entity_f1(_tagged(table(spark, folder, "lang_samples").where("lang in ('en', 'bnls')")), ["sample_id"], "truth", "guess")
 
 
-@R.add()
+_TAG_IDS = f"(SELECT sample_id, [[CASE WHEN regexp_matches(w, '^[A-Z]') THEN 1 ELSE 0 END] || [-100 FOR j IN range(CAST(ceil(length(w) / 6.0) AS INTEGER) - 1)] FOR w IN {sql_words('text')}] AS each FROM lang_samples WHERE text IS NOT NULL)"
+
+
+@R.add(f"SELECT sample_id, list_resize(flatten(each)[1:48], 48, -100) AS labels FROM {_TAG_IDS}")
 def label_align(spark, folder):
     own = _tagged(table(spark, folder, "lang_samples")).withColumn("ids", F.transform("truth", lambda t: F.when(t == "O", 0).otherwise(1)))
     pieces = F.transform("words", lambda w: F.ceil(F.length(w) / 6).cast("int"))
@@ -314,6 +327,17 @@ def domain_pivot(spark, folder):
     return wide.select("name", *((F.lit(100.0) * F.col(d) / F.col("t")).alias(d) for d in ("bn", "en", "nmt", "sn")))
 
 
+_LABELS = {"bn": "Bangla", "en": "English", "sn": "Verified Bangla", "nmt": "Translation pairs"}
+
+
+@R.add(f"SELECT DISTINCT split_part(file, '/', -1) AS base, {_DOMAIN} AS domain, CASE {_DOMAIN} WHEN 'bn' THEN 'Bangla' WHEN 'en' THEN 'English' WHEN 'sn' THEN 'Verified Bangla' WHEN 'nmt' THEN 'Translation pairs' ELSE {_DOMAIN} END AS label FROM (SELECT file, replace(split_part(file, '/', -1), 'opus_', 'opus_nmt_') AS f FROM raw_lines)")
+def domain_labels(spark, folder):
+    """The files' own names with their domain and its label; a domain without a label goes by its name. Names of one collection carry its domain as shards do."""
+    base = F.element_at(F.split("file", "/"), -1)
+    own = table(spark, folder, "raw_lines").select(base.alias("base")).distinct().withColumn("domain", domain_of(F.replace(F.col("base"), F.lit("opus_"), F.lit("opus_nmt_"))))
+    return own.withColumn("label", score.labelled("domain", _LABELS))
+
+
 # chats and prompts
 
 _TURNS = "(SELECT batch, pair_id, 0 AS turn, 'user' AS role, bn AS content FROM parallel_pairs WHERE bn IS NOT NULL UNION ALL SELECT batch, pair_id, 1, 'assistant', en FROM parallel_pairs WHERE en IS NOT NULL)"
@@ -334,26 +358,95 @@ def prompts(spark, folder):
     return table(spark, folder, "parallel_pairs").where("bn IS NOT NULL").select("pair_id", filled("Translate: {source}\\n", source="bn").alias("prompt"))
 
 
+@R.add("SELECT pair_id, 'Q: one = ?' || chr(10) || 'A: 1' || chr(10) || chr(10) || 'Q: ' || bn || ' = ?' || chr(10) || 'A: ' || en AS prompt FROM parallel_pairs WHERE bn IS NOT NULL AND en IS NOT NULL")
+def few_shot_prompts(spark, folder):
+    """A template after one example; what the values hold is not expanded."""
+    from khata.functions.prompts import few_shot
+
+    own = table(spark, folder, "parallel_pairs").where("bn IS NOT NULL AND en IS NOT NULL")
+    return own.select("pair_id", few_shot("Q: {q} = ?\nA: {a}", [{"q": "one", "a": "1"}], q="bn", a="en").alias("prompt"))
+
+
+@R.add("SELECT pair_id, bn || ' । ' || en AS text FROM parallel_pairs WHERE bn IS NOT NULL AND en IS NOT NULL")
+def sentence_pairs(spark, folder):
+    from khata.functions.prompts import joined_pair
+
+    return table(spark, folder, "parallel_pairs").where("bn IS NOT NULL AND en IS NOT NULL").select("pair_id", joined_pair("bn", "en").alias("text"))
+
+
 def _haystacks(spark, folder):
     docs = table(spark, folder, "documents").where(F.length("text") >= 500)
     return docs.select("doc_id", pack.token_ids("text", end=False).alias("ids"))
 
 
+_DEPTHS, _LENGTHS = (0.0, 0.5, 1.0), (64, 128)
+_GRID = f"""(SELECT doc_id, n, context_length, CAST(needle_depth AS DOUBLE) AS needle_depth FROM (SELECT doc_id, len({sql_words('text')}) AS n FROM documents WHERE length(text) >= 500), (VALUES (64), (128)) c(context_length), (VALUES (0.0), (0.5), (1.0)) d(needle_depth))"""
+_NEEDLE = (7, 8, 9)  # no ids of words
+
+
+def _prompts(spark, folder):
+    return score.needle_prompts(_haystacks(spark, folder), "ids", F.array(*map(F.lit, _NEEDLE)), list(_LENGTHS), list(_DEPTHS))
+
+
+@R.add(f"SELECT doc_id, context_length, needle_depth, CAST(floor(least(n, context_length - 3) * needle_depth) AS INTEGER) AS needle_at, CAST(least(n, context_length - 3) + 3 AS INTEGER) AS tokens, TRUE AS whole FROM {_GRID}")
+def needle_places(spark, folder):
+    """Of each prompt where the needle begins, whether it stands there whole, and the prompt's length."""
+    own = _prompts(spark, folder).withColumn("needle_at", (F.array_position("prompt", _NEEDLE[0]) - 1).cast("int"))
+    whole = F.slice("prompt", F.col("needle_at") + 1, F.lit(len(_NEEDLE))) == F.array(*map(F.lit, _NEEDLE))
+    return own.select("doc_id", "context_length", "needle_depth", "needle_at", F.col("actual_tokens").cast("int").alias("tokens"), whole.alias("whole"))
+
+
+_ASKED = "md5(doc_id || ':' || context_length || ':' || CAST(needle_depth * 10 AS INTEGER)) < 'a'"
+
+
+@R.add(f"SELECT context_length, needle_depth, count(*) AS prompts, avg(CASE WHEN {_ASKED} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS accuracy FROM {_GRID} GROUP BY GROUPING SETS ((context_length, needle_depth), (context_length), (needle_depth), ())")
+def retrieval_by_place(spark, folder):
+    """The share of answers that hold what was expected, by length and depth, by each of them, and overall. The answers stand in for a model's: a digest decides which hold it, in other letter case."""
+    key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("context_length").cast("string"), (F.col("needle_depth") * 10).cast("int").cast("string")))
+    own = _prompts(spark, folder).select("context_length", "needle_depth", F.concat(F.lit("Secret-"), F.substring(key, 1, 6)).alias("expected"), key.alias("key"))
+    given = F.when(F.col("key") < "a", F.concat(F.lit("It is  "), F.upper("expected"), F.lit("."))).otherwise("I don't know.")
+    hit = own.select("context_length", "needle_depth", I.contains_answer(given, "expected").cast("double").alias("hit"))
+    return hit.cube("context_length", "needle_depth").agg(F.count(F.lit(1)).alias("prompts"), F.avg("hit").alias("accuracy"))
+
+
+# logs, grids and samples
+
+_GAP, _GOAL = 3600, 1_000_000
+_STEPS = "(SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0) AS gap FROM events)"
+
+
 @R.add(
-    f"""WITH h AS (SELECT doc_id, len({sql_words('text')}) AS n FROM documents WHERE length(text) >= 500), g AS (SELECT * FROM (VALUES (64), (128)) c(context_length), (VALUES (0.0), (0.5), (1.0)) d(needle_depth))
-    SELECT context_length, CAST(needle_depth AS DOUBLE) AS needle_depth, count(*) AS prompts, CAST(sum(least(n, context_length - 3) + 3) AS BIGINT) AS tokens FROM h, g GROUP BY ALL"""
+    f"""SELECT event_id, tokens, elapsed_s, CASE WHEN elapsed_s > 0 THEN round(tokens / elapsed_s, 6) END AS tokens_per_s, CASE WHEN tokens > 0 AND elapsed_s > 0 THEN round(greatest({_GOAL} - tokens, 0) / (tokens / elapsed_s), 3) END AS eta_s
+    FROM (SELECT event_id, CAST(sum(CAST(floor(value) AS BIGINT)) OVER w AS DOUBLE) AS tokens, CAST(sum(CASE WHEN gap <= {_GAP}000000 THEN gap ELSE 0 END) OVER w AS DOUBLE) / 1000000 AS elapsed_s FROM {_STEPS} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 )
-def niah_grid(spark, folder):
-    needle = F.array(*(F.lit(n) for n in (7, 8, 9)))
-    own = score.needle_prompts(_haystacks(spark, folder), "ids", needle, [64, 128], [0.0, 0.5, 1.0])
-    return own.groupBy("context_length", "needle_depth").agg(F.count(F.lit(1)).alias("prompts"), F.sum("actual_tokens").alias("tokens"))
+def throughput(spark, folder):
+    """Of each step of a log tokens so far, seconds so far without the breaks between restarts, tokens a second, and seconds until the goal."""
+    own = table(spark, folder, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.floor("value").alias("step_tokens"))
+    return score.throughput(own, ["user_id"], "ts", "step_tokens", _GOAL, _GAP, ["event_id"]).select("event_id", "tokens", "elapsed_s", F.round("tokens_per_s", 6).alias("tokens_per_s"), F.round("eta_s", 3).alias("eta_s"))
+
+
+@R.add(
+    """SELECT CAST(g.place AS INTEGER) AS place, g.dataset, g.model, coalesce(printf('%.4f', m.v), 'N/A') AS shown FROM (SELECT row_number() OVER () - 1 AS place, dataset, model FROM (SELECT * FROM (VALUES ('ancholik', 'model_01'), ('ancholik', 'model_10'), ('wikiann', 'model_01'), ('wikiann', 'model_10'), ('SentNoB', 'model_32'), ('SentNoB', 'none')) x(dataset, model))) g
+    LEFT JOIN (SELECT dataset, model, max(coalesce(macro_f1, entity_f1)) AS v FROM run_results GROUP BY ALL) m ON g.dataset = m.dataset AND g.model = m.model"""
+)
+def grid_lookup(spark, folder):
+    """The configured datasets and models in their order, each with its best score, or N/A."""
+    best = table(spark, folder, "run_results").groupBy("dataset", "model").agg(F.max(F.coalesce("macro_f1", "entity_f1")).alias("v"))
+    grid = [("ancholik", "model_01"), ("ancholik", "model_10"), ("wikiann", "model_01"), ("wikiann", "model_10"), ("SentNoB", "model_32"), ("SentNoB", "none")]
+    return score.looked_up(best, grid, ["dataset", "model"], F.when(F.col("v").isNotNull(), F.format_string("%.4f", "v")))
+
+
+@R.add("SELECT run_id, model, task FROM run_results WHERE coalesce(macro_f1, entity_f1, accuracy) IS NOT NULL")
+def not_skipped(spark, folder):
+    """Results that are not flagged as skipped; a run without any metric is."""
+    own = table(spark, folder, "run_results").withColumn("skipped", F.coalesce("macro_f1", "entity_f1", "accuracy").isNull())
+    return score.without_skipped(own).select("run_id", "model", "task")
 
 
-@R.add("SELECT event_type, count(*) AS n, avg(CASE WHEN contains(lower(coalesce(props, '')), lower(event_type)) THEN 1.0 ELSE 0.0 END) AS accuracy FROM events GROUP BY GROUPING SETS ((event_type), ())")
-def retrieval_heatmap(spark, folder):
-    """Containment of the expected in the given answer, by group and overall."""
-    own = table(spark, folder, "events").select("event_type", F.coalesce(F.contains(F.lower("props"), F.lower("event_type")), F.lit(False)).cast("double").alias("hit"))
-    return own.rollup("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("hit").alias("accuracy"))
+@R.add(f"SELECT item_key FROM {_ITEMS} WHERE item_key IN (SELECT {_KEY.format(sql_strip('line'))} FROM {_PARTS}) ORDER BY item_key LIMIT 10")
+def contamination_samples(spark, folder):
+    """Ten of the held-out keys that were found, the first by key (the feature)."""
+    return score.contamination_by_segment(_held_out(spark, folder), table(spark, folder, "documents"), "text", "text").orderBy("item_key").limit(10)
 
 
 @R.add(f"SELECT doc_id, {sql_collapse('text')} AS line, {sql_count('text')} AS n FROM (SELECT doc_id, array_to_string([trim(l, ' ') FOR l IN string_split(text, chr(10)) IF length(trim(l, ' ')) >= 40 AND NOT starts_with(trim(l, ' '), '|')], ' ') AS text FROM documents WHERE length(text) >= 500) WHERE length(text) >= 500")

@@ -79,25 +79,3 @@ def unknown_words(spark, folder):
 @R.add("SELECT event_id, contains(lower(trim(coalesce(props, ''))), lower(trim(event_type))) AS holds FROM events")
 def answer_containment(spark, folder):
     return table(spark, folder, "events").select("event_id", F.coalesce(I.contains_answer(F.coalesce("props", F.lit("")), "event_type"), F.lit(False)).alias("holds"))
-
-
-@R.add("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY ALL")
-def line_summary(spark, folder):
-    return table(spark, folder, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02 00:00:00'").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n"))
-
-
-@R.add("SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 4) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
-def customers_by_nation(spark, folder):
-    own = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"), F.sum("c_acctbal").alias("b"))
-    return own.join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.sum("customers").alias("customers"), F.round(F.sum("b"), 4).alias("balance"))
-
-
-@R.add("SELECT user_id, s, count(*) AS events, min(ts) AS first FROM (SELECT user_id, ts, sum(CASE WHEN gap IS NULL OR gap > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)) GROUP BY user_id, s")
-def sessions(spark, folder):
-    from pyspark.sql import Window
-
-    over = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    own = table(spark, folder, "events").select("user_id", "event_id", "ts", (micros - F.lag(micros).over(over)).alias("gap"))
-    own = own.withColumn("s", F.sum(F.when(F.col("gap").isNull() | (F.col("gap") > 1_800_000_000), 1).otherwise(0)).over(over))
-    return own.groupBy("user_id", "s").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first"))

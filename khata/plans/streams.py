@@ -43,7 +43,7 @@ def stream_budget(spark, folder):
 
 
 @R.add("SELECT run_id, task, accuracy, macro_f1 FROM run_results")
-def stream_metric_log(spark, folder):
+def stream_metric_rows(spark, folder):
     """Metric rows appended by a stream, then by a second run that finds nothing new."""
     place = _place(spark)
     for _ in range(2):
