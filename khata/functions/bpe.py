@@ -20,8 +20,21 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k", "piece_bpe_32k"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space as the pattern has it; a text is cut before white space that follows something else, where the pattern always cuts.
 SPACE = "\t-\r \x85\xa0  -     　"
-_CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-_LONG, _MOST = 4096, 300_000
+CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Runs of white space of more signs are cut by rule; matching them takes a stack that follows their length.
+LONG_RUN = 4096
+_RUN = re.compile(f"[{SPACE}]+")
+#: What a worker remembers of chunks and words, at most.
+_MOST = 300_000
+
+
+def cut(chunk: str) -> tuple[str, str]:
+    """A chunk's long run of white space that is a piece of its own, and the rest: before other signs the pattern leaves the run's last sign to them."""
+    m = _RUN.match(chunk) if len(chunk) > LONG_RUN else None
+    if m is None or m.end() <= LONG_RUN:
+        return "", chunk
+    end = m.end() if m.end() == len(chunk) else m.end() - 1
+    return chunk[:end], chunk[end:]
 
 
 @functools.cache
@@ -48,10 +61,9 @@ class _Ids(dict):
         self.own = _byte_bpe(folder)
 
     def __missing__(self, chunk: str) -> list[int]:
-        run = re.match(f"[{SPACE}]+", chunk) if len(chunk) > _LONG else None
-        if run and run.end() > _LONG:  # a long run of white space is one piece, but for its last sign before other signs
-            end = run.end() if run.end() == len(chunk) else run.end() - 1
-            return self.own._core_bpe.encode_single_piece(chunk[:end].encode()) + self.own.encode_ordinary(chunk[end:])
+        run, rest = cut(chunk)
+        if run:
+            return self.own._core_bpe.encode_single_piece(run.encode()) + self.own.encode_ordinary(rest)
         ids = self.own.encode_ordinary(chunk)
         if len(chunk) <= 64:
             if len(self) >= _MOST:
@@ -75,7 +87,7 @@ def encoded(text: str | Column, folder: str = FOLDER) -> Column:
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(column: pa.Array) -> pa.Array:
         known = _memo(folder).__getitem__
-        return _lists([None if t is None else [i for c in _CHUNK.findall(t) for i in known(c)] for t in column.to_pylist()])
+        return _lists([None if t is None else [i for c in CHUNK.findall(t) for i in known(c)] for t in column.to_pylist()])
 
     return ids(text)
 
@@ -124,7 +136,7 @@ def measured(text: str | Column, folder: str = FOLDER) -> Column:
             if t is None:
                 rows.append(None)
                 continue
-            ids = [i for c in _CHUNK.findall(t) for i in known(c)]
+            ids = [i for c in CHUNK.findall(t) for i in known(c)]
             long = 0
             for w in t.split():
                 n = lengths.get(w)
