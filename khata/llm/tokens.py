@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import functools
 import os
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,18 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from khata.arrow import sliced, texts
+from khata.functions import bpe
+from khata.functions.bpe import CHUNK, FOLDER, PATTERN, SPACE, cut
 from khata.session import written
 
-FOLDER = os.environ.get("KHATA_TOKENIZERS", "/opt/tokenizers")
-NAME = "byte_bpe_50k"
-#: The pattern that this vocabulary splits text by before its merges (a fixed value of the vocabulary).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Unicode white space, as the pattern's \s has it; U+001C to U+001F are not in it.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Runs of white space of more signs are cut by rule; matching them takes a stack that follows their length.
-LONG_RUN = 4096
-RUN = re.compile(f"[{SPACE}]+")
+NAME = bpe.BYTE_BPE
 #: Chunks of more characters are not remembered, and at most so many are.
 LONGEST, MOST = 64, 300_000
 
@@ -64,15 +56,6 @@ class Memo(dict):
         return value
 
 
-def cut(chunk: str) -> tuple[str, str]:
-    """A chunk's long run of white space that is a piece of its own, and the rest: before other signs the pattern leaves the run's last sign to them."""
-    m = RUN.match(chunk) if len(chunk) > LONG_RUN else None
-    if m is None or m.end() <= LONG_RUN:
-        return "", chunk
-    end = m.end() if m.end() == len(chunk) else m.end() - 1
-    return chunk[:end], chunk[end:]
-
-
 @functools.cache
 def _ids_memo(folder: str, name: str) -> Memo:
     tokenizer = encoding(folder, name)
