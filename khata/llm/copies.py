@@ -40,11 +40,12 @@ def _tuple(fields: list[str]) -> Column:
 
 def _dictionary(records: DataFrame, value: str, k: int) -> DataFrame | None:
     """The identifier of each distinct value; None if there are too many for a broadcast."""
-    values = written(records.groupBy(F.col(value).alias(f"d{k}")).agg(F.max(F.length(value)).alias("n")), "values")
-    size = values.agg(F.count(F.lit(1)).alias("values"), F.coalesce(F.max("n"), F.lit(0)).alias("longest")).first()
-    if size["values"] > MOST_VALUES or size["longest"] > LONGEST_VALUE:
+    values = records.select(F.col(value).alias("d")).distinct().select(F.when(F.coalesce(F.length("d"), F.lit(0)) <= LONGEST_VALUE, F.col("d")).alias("d"), (F.length("d") > LONGEST_VALUE).alias("long"))
+    known = values.limit(MOST_VALUES + 1).collect()  # bounded in number and length
+    if len(known) > MOST_VALUES or any(r["long"] for r in known):
         return None
-    return values.select(f"d{k}", identifier(canonical(f"d{k}")).alias(f"_{k}"))
+    own = records.sparkSession.createDataFrame([(r["d"],) for r in known], f"d{k} STRING")
+    return own.select(f"d{k}", identifier(canonical(f"d{k}")).alias(f"_{k}"))
 
 
 def encoded(records: DataFrame, id_col: str, fields: dict[str, bool], text: str | None = None) -> DataFrame:
@@ -67,16 +68,6 @@ def encoded(records: DataFrame, id_col: str, fields: dict[str, bool], text: str
     return out.select("id", _tuple(names).alias("key"))
 
 
-def copies(keys: DataFrame) -> DataFrame:
-    """(keep_id, copy_id, n_copies) from (id, key): for each record but the one with the smallest id of its group.
-
-    Groups are counted before they are shuffled; the join back is one that Spark
-    splits by itself where a group is large, since the other side has one row.
-    """
-    groups = keys.groupBy("key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
-    return keys.join(groups, "key").where("id != keep_id").select("keep_id", F.col("id").alias("copy_id"), "n_copies")
-
-
 def document_keys(docs: DataFrame) -> DataFrame:
     return encoded(docs, "doc_id", {"text": False, "source": True}, "text")
 

@@ -28,12 +28,14 @@ CAPACITY = 2048
 GRAIN = 1
 #: Share of the scarcest length that a round serves, and the rounds that the demand is spread over; the program goes on until all is covered.
 STEP, ROUNDS = 0.34, 1000
+#: Fillings that are served from one table of the dynamic program at most, and how far below the best one they may be worth.
+FROM_ONE, SLACK = 64, 0.01
 #: Items that one ranking task takes of one length.
 PER_TASK = 500_000
 
 
-def _best_filling(sizes: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
-    """The unbounded knapsack: how often each of `sizes` (rising) stands in the filling of highest price."""
+def _fillings_of(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unbounded knapsack over `sizes` (rising): the highest price of each capacity, and which size is put in last there (-1 for none)."""
     value = np.zeros(capacity + 1)
     last = np.full(capacity + 1, -1, np.int64)
     fit = np.searchsorted(sizes, np.arange(capacity + 1), "right")
@@ -45,12 +47,19 @@ def _best_filling(sizes: np.ndarray, price: np.ndarray, capacity: int) -> np.nda
             value[c], last[c] = gain[k], k
         else:
             value[c] = value[c - 1]
+    return value, last
+
+
+def _traced(sizes: np.ndarray, last: np.ndarray, capacity: int, first: int) -> np.ndarray:
+    """How often each size stands in the best filling that holds size number `first`."""
     counts = np.zeros(len(sizes), np.int64)
-    c = capacity
+    counts[first] = 1
+    c = capacity - int(sizes[first])
     while c > 0:
-        if last[c] >= 0:
-            counts[last[c]] += 1
-            c -= int(sizes[last[c]])
+        k = last[c]
+        if k >= 0:
+            counts[k] += 1
+            c -= int(sizes[k])
         else:
             c -= 1
     return counts
@@ -65,16 +74,25 @@ def fillings(demand: np.ndarray, capacity: int, step: float = STEP, rounds: int
     found: dict[bytes, list] = {}
     done = 0
     while len(open_ := np.flatnonzero(left > 1e-9)):
-        counts = np.zeros(len(sizes), np.int64)
-        counts[open_] = _best_filling(sizes[open_], price[open_], capacity)
-        used = np.flatnonzero(counts)
-        even = float(left @ sizes) / capacity / max(1, rounds - done)
-        served = min(float(np.min(left[used] / counts[used])), max(1.0, even, step * float(np.min(need[used] / counts[used]))))
-        own = found.setdefault(counts.tobytes(), [counts, 0.0])
-        own[1] += served
-        left[used] -= served * counts[used]
-        price[used] *= np.exp(-step * served * counts[used] / need[used])
-        done += 1
+        value, last = _fillings_of(sizes[open_], price[open_], capacity)
+        worth = price[open_] + value[capacity - sizes[open_]]
+        # each size with the best that goes with it is a filling; those about as good as the best are served from one table
+        order = np.argsort(-worth, kind="stable")[:FROM_ONE]
+        for first in order[worth[order] >= (1 - SLACK) * worth[order[0]]]:
+            own = _traced(sizes[open_], last, capacity, int(first))
+            used = np.flatnonzero(own)
+            counts, at = own[used], open_[used]
+            if (left[at] <= 1e-9).any():
+                continue
+            even = float(left @ sizes) / capacity / max(1, rounds - done)
+            served = min(float(np.min(left[at] / counts)), max(1.0, even, step * float(np.min(need[at] / counts))))
+            whole = np.zeros(len(sizes), np.int64)
+            whole[at] = counts
+            known = found.setdefault(whole.tobytes(), [whole, 0.0])
+            known[1] += served
+            left[at] -= served * counts
+            price[at] *= np.exp(-step * served * counts / need[at])
+            done += 1
     out = []
     for counts, x in found.values():
         whole = np.zeros(capacity + 1, np.int64)
