@@ -29,7 +29,7 @@ GRAIN = 1
 #: Share of the scarcest length that a round serves, and the rounds that the demand is spread over; the program goes on until all is covered.
 STEP, ROUNDS = 0.34, 1000
 #: Fillings that are served from one table of the dynamic program at most, and how far below the best one they may be worth.
-FROM_ONE, SLACK = 64, 0.01
+FROM_ONE, SLACK = 16, 0.003
 #: Items that one ranking task takes of one length.
 PER_TASK = 500_000
 
