@@ -15,6 +15,7 @@ Signs whose bytes were lost are marked by a replacement character.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 import unicodedata
@@ -116,16 +117,15 @@ def _code(sign: str, name: str) -> bytes | None:
 def _double_tokens(text: str, name: str) -> Iterator[tuple[int, int, bytes, list[int]]]:
     """Runs of signs beyond ASCII that the encoding has: begin, end, bytes, and where each sign's bytes begin."""
     for m in BEYOND.finditer(text):
-        at, code, places = m.start(), b"", []
+        at, codes = m.start(), []
         for k in range(m.start(), m.end() + 1):
             own = _code(text[k], name) if k < m.end() else None
-            if own is None:
-                if code:
-                    yield at, k, code, [*places, len(code)]
-                at, code, places = k + 1, b"", []
-            else:
-                places.append(len(code))
-                code += own
+            if own is not None:
+                codes.append(own)
+                continue
+            if codes:
+                yield at, k, b"".join(codes), [0, *itertools.accumulate(map(len, codes))]
+            at, codes = k + 1, []
 
 
 def _script(c: str) -> str:
@@ -213,23 +213,27 @@ def _read(code: bytes, kind: str) -> tuple[list[tuple[int, int, str | None]], fl
 _read_short = functools.lru_cache(50_000)(_read)
 
 
-def _stretches(parts: list[tuple], least: float) -> Iterator[tuple]:
-    """The parts of the stretches whose sum of falls (the first of each part) reaches `least`; a stretch ends where its sum has sunk to 0."""
-    run: list[tuple] = []
-    total = most = 0.0
-    upto = 0
-    for p in [*parts, (-math.inf,)]:
-        total += p[0]
-        if total <= 0:
+def _stretches(parts: list[tuple], least: float) -> list[tuple]:
+    """The parts of the stretches whose sum of falls (the first of each part) reaches `least`, in order; a stretch ends where its sum has sunk to 0, and what follows its top is looked at again."""
+    out: list[tuple] = []
+    pending = [parts]
+    while pending:
+        run: list[tuple] = []
+        total = most = 0.0
+        upto = 0
+        for p in [*pending.pop(), (-math.inf,)]:
+            total += p[0]
+            if total > 0:
+                run.append(p)
+                if total > most:
+                    most, upto = total, len(run)
+                continue
             if most >= least:
-                yield from (q for q in run[:upto] if q[0] > 0)
-                # what follows the top is looked at again
-                yield from _stretches(run[upto:], least) if upto < len(run) else ()
+                out += [q for q in run[:upto] if q[0] > 0]
+                if upto < len(run):
+                    pending.append(run[upto:])
             run, total, most, upto = [], 0.0, 0.0, 0
-            continue
-        run.append(p)
-        if total > most:
-            most, upto = total, len(run)
+    return sorted(out, key=lambda q: q[1])
 
 
 def _reread(text: str, name: str) -> tuple[str, float, int, int]:

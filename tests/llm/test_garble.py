@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -142,3 +144,10 @@ def test_lost_signs_make_it_not_whole():
 
 def test_words_of_other_scripts_are_restored():
     assert garble.restored(wrong("a bridge (мост).", "cp1252"))[0] == "a bridge (мост)."
+
+
+@pytest.mark.parametrize("text", ["中文没有空格" * 60_000, "её" * 200_000, "她 и я " * 60_000, wrong("নদী", "cp1252") * 60_000, "Ã" * 300_000, "Ã©" * 100_000, "鈥" * 200_000])
+def test_long_texts_take_time_in_proportion(text):
+    began = time.perf_counter()
+    garble.restored(text)
+    assert time.perf_counter() - began < 20
