@@ -135,8 +135,8 @@ def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 # Problem 5: lengths from a dictionary of distinct pieces.
 
-#: So many pieces, those of the most documents in the whole corpus, are looked up where the documents lie. Any other piece is in fewer
-#: documents than each of these, so no key of the join has more than one part in HOT_PIECES of the postings. The bound of what is broadcast.
+#: At most so many pieces, those of the most documents in the whole corpus, are looked up where the documents lie: the bound of what is broadcast.
+#: Any other piece is in about as many documents as more than HOT_PIECES others at most, so no key of the join has more than about one part in HOT_PIECES of the postings.
 HOT_PIECES = 50_000
 #: Pieces of more characters are known by a 128-bit fingerprint.
 KEY_LENGTH = 32
@@ -234,16 +234,28 @@ def _weighed(batch: pa.RecordBatch, hot: dict[str, int]) -> Iterator[pa.RecordBa
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], ids[row[rest]]]), pa.int64()), pa.array(all_keys, pa.string()), pa.array(np.concatenate([total[some], times[rest]]), pa.int64())], names=["id", "key", "times"])
 
 
+def _hot(lengths: DataFrame) -> dict[str, int]:
+    """The lengths of the hot pieces: all from a level of documents on, the lowest with at most HOT_PIECES pieces. Levels are sixteenths of a doubling, so both the counts by level and the pieces are few, whatever the number of tasks."""
+    leveled = lengths.withColumn("level", F.floor(F.log2("docs") * 16))
+    total, least = 0, None
+    for r in sorted(leveled.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["level"]):
+        total += r["n"]
+        if total > HOT_PIECES:
+            break
+        least = r["level"]
+    return {} if least is None else {r["key"]: r["n"] for r in leveled.where(F.col("level") >= least).select("key", "n").collect()}
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, name: str = NAME) -> DataFrame:
     """(`id_col`, n_tokens) of every row that has tokens, by way of distinct pieces.
 
     Each distinct piece of the corpus, cut as the tokenizer cuts, is tokenized once and
-    its length kept in a written table. The HOT_PIECES pieces of the most documents are
-    looked up where the documents lie; the frequencies of all others are joined with
-    the table. `id_col` must be unique. Null and empty texts give no row.
+    its length kept in a written table. The pieces of the most documents, at most
+    HOT_PIECES, are looked up where the documents lie; the frequencies of all others
+    are joined with the table. `id_col` must be unique. Null and empty texts give no row.
     """
     lengths = written(piece_lengths(docs, text_col, folder, name), "pieces")
-    hot = {r["key"]: r["n"] for r in lengths.orderBy(F.desc("docs"), "key").limit(HOT_PIECES).collect()}
+    hot = _hot(lengths)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     postings = own.mapInArrow(sliced(lambda batch: _weighed(batch, hot), "t"), "id BIGINT, key STRING, times BIGINT")
     joined = postings.join(lengths.select("key", "n"), "key", "left")
