@@ -281,14 +281,20 @@ def mislabelled(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 SEGMENT = "id BIGINT, segment INT, lang STRING, confidence DOUBLE, begin BIGINT, end BIGINT, text STRING"
 _TOKEN = re.compile(r"\S+")
+_STOPS, _CLOSERS = frozenset(".!?।॥৷…"), frozenset("\"'”’)]»")
 _STOP = re.compile(r"[.!?।॥৷…][\"'”’)\]»]*$")
 #: What a change of language costs, against 1 for each word that it explains and 1 for each that it doesn't: inside a sentence, and between two.
 WITHIN, BETWEEN = 4.0, 1.0
 
 
+def _blanked(text: str) -> str:
+    """A text with line breaks for its control tokens, of the same length."""
+    return CONTROL.sub(lambda m: "\n" * len(m.group()), text) if "<|" in text else text
+
+
 def _tokens(text: str, ready: str) -> tuple[list[re.Match], list[str]]:
     """The tokens of a text as they stand in it, and their prepared forms. Where preparing the whole text changed how many there are, each is prepared by itself."""
-    found = list(_TOKEN.finditer(CONTROL.sub(lambda m: "\n" * len(m.group()), text)))
+    found = list(_TOKEN.finditer(_blanked(text)))
     plain = ready.split()
     if len(plain) != len(found):
         plain = prepared([m.group() for m in found])
@@ -319,8 +325,11 @@ def _paths(scores: np.ndarray, change: np.ndarray) -> np.ndarray:
 
 def _segments(text: str, ready: str, found: dict[str, float], model: Model) -> list[tuple[str, float, int, int]]:
     """The stretches of a text by the languages that were found in it: (lang, confidence, begin, end), in code points of the text as it stands."""
-    tokens, plain = _tokens(text, ready)
     langs = sorted(found)
+    if len(langs) == 1:  # the whole text, with the confidence that it has
+        own = _blanked(text)
+        return [(langs[0], found[langs[0]], len(own) - len(own.lstrip()), len(own.rstrip()))]
+    tokens, plain = _tokens(text, ready)
     if not tokens or not langs:
         return []
     code = model.coded().__getitem__
@@ -336,8 +345,12 @@ def _segments(text: str, ready: str, found: dict[str, float], model: Model) -> l
         signs.append((f, sign))
         both = len(members) > 1 and all(m in found for m in members)
         scores[:, k] = np.where(families == f, sign * margins if both else 1.0, np.where(families > 0, -1.0, 0.0))
-    between = np.array([False, *(bool(_STOP.search(a.group())) or "\n" in text[a.end() : b.start()] or CONTROL.search(text, a.end(), b.start()) is not None for a, b in itertools.pairwise(tokens))])
-    path = _paths(scores, np.where(between, BETWEEN, WITHIN)) if len(langs) > 1 else np.zeros(len(tokens), np.int64)
+    blank = _blanked(text)
+    between = np.zeros(len(tokens), bool)
+    for i, m in enumerate(tokens[:-1]):
+        end = m.end()
+        between[i + 1] = blank[end - 1] in _STOPS or blank[end] == "\n" or blank[end - 1] in _CLOSERS and _STOP.search(m.group()) is not None or "\n" in blank[end : tokens[i + 1].start()]
+    path = _paths(scores, np.where(between, BETWEEN, WITHIN))
     for k in range(len(langs)):  # a language that was found has its best stretch at least
         if not (path == k).any():
             sums = np.concatenate([[0.0], np.cumsum(scores[:, k])])
