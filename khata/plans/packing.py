@@ -35,12 +35,6 @@ def tokens_rollup(spark, folder):
     return own.rollup("name").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs"))
 
 
-@R.add(f"SELECT name, CAST(sum(n + 1) AS DOUBLE) / sum(n) AS per_word FROM (SELECT name, {sql_count('text')} AS n FROM {SOURCED} WHERE text IS NOT NULL) GROUP BY name")
-def tokens_per_word(spark, folder):
-    own = sourced(spark, folder).where("text IS NOT NULL").select("name", F.size(pack.token_ids("text")).alias("t"), word_count("text").alias("w"))
-    return own.groupBy("name").agg((F.sum("t").cast("double") / F.sum("w")).alias("per_word"))
-
-
 @R.add(f"SELECT * FROM {_SEQS}")
 def pack_sequences(spark, folder):
     return _seqs(spark, folder)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -75,3 +76,23 @@ def test_permutation_and_split(spark):
     assert sorted(a) == sorted(b) == list(range(50)) and a != b
     share = ordered.hash_split(spark.range(2000), "id", 0.2, 42).where(F.col("split") == "test").count() / 2000
     assert 0.15 < share < 0.25
+
+
+@pytest.mark.parametrize("order", ["cast(xxhash64(id) as bigint)", "id / 1000.0", "id * id", "cast(1000 - id as int)", "5"])
+def test_prefix_sums_over_any_numbers(spark, monkeypatch, order):
+    monkeypatch.setattr(ordered, "BUCKET", 50)
+    df = spark.range(300).selectExpr("id", f"{order} as o", "id % 7 as w")
+    got = {r["id"]: r["s"] for r in ordered.prefix_sum(df, "w", "o", "s", ties=["id"]).collect()}
+    total, expected = 0, {}
+    for r in sorted(df.collect(), key=lambda r: (r["o"], r["id"])):
+        expected[r["id"]] = total
+        total += r["w"]
+    assert got == expected
+    buckets = df.select(ordered.bucket_of(df, "o", 50).alias("b")).distinct().count()
+    assert buckets <= 8  # a few for a few rows each, whatever the numbers
+
+
+def test_rows_without_a_key_are_empty(spark, rows):
+    own = spark.createDataFrame([(1, None), (2, "a"), (3, "a"), (4, None), (5, "b")], "doc_id LONG, h STRING")
+    base = spark.createDataFrame([("b",), (None,)], "h STRING")
+    assert rows(dedup.against_base(own, base).select("doc_id", "state")) == [(1, "empty"), (2, "kept"), (3, "self"), (4, "empty"), (5, "base")]

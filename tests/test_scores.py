@@ -1,5 +1,7 @@
 import math
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,53 @@ def test_label_align_covers_every_language(spark, tmp_path):
     rows = [(1, "en", "The river Padma"), (2, "bn", "নদীর ধারে"), (3, "hi", "नदी")]
     spark.createDataFrame(rows, "sample_id BIGINT, lang STRING, text STRING").write.parquet(f"{tmp_path}/lang_samples.parquet")
     assert {r["sample_id"] for r in registry.queries()["label_align"](spark, str(tmp_path)).collect()} == {1, 2, 3}
+
+
+def test_throughput_leaves_breaks_out(spark):
+    rows = [("a", 1, "2024-01-01 00:00:00", 10), ("a", 2, "2024-01-01 00:00:10", 30), ("a", 3, "2024-01-01 09:00:00", 20), ("a", 4, "2024-01-01 09:00:10", 40), ("b", 5, "2024-01-01 00:00:00", 5)]
+    log = spark.createDataFrame(rows, "run STRING, id INT, ts STRING, n INT").withColumn("ts", F.to_timestamp("ts"))
+    got = {r["id"]: (r["tokens"], r["elapsed_s"], r["tokens_per_s"], r["eta_s"]) for r in score.throughput(log, ["run"], "ts", "n", 200, 3600).collect()}
+    assert got == {1: (10, 0, None, None), 2: (40, 10, 4, 40), 3: (60, 10, 6, (200 - 60) / 6), 4: (100, 20, 5, 20), 5: (5, 0, None, None)}
+
+
+def test_grids_flags_and_labels(spark, rows):
+    df = spark.createDataFrame([("d", "m", 0.5), ("d", "n", None)], "dataset STRING, model STRING, v DOUBLE")
+    got = score.looked_up(df, [("d", "n"), ("d", "m"), ("e", "m")], ["dataset", "model"], F.format_string("%.1f", "v"))
+    assert [r["shown"] for r in got.orderBy("place").collect()][1:] == ["0.5", "N/A"]
+    flagged = spark.createDataFrame([(1, True), (2, False), (3, None)], "i INT, skipped BOOLEAN")
+    assert rows(score.without_skipped(flagged).select("i")) == [(2,), (3,)]
+    assert rows(df.select(score.labelled("model", {"m": "M"}))) == [("M",), ("n",)]
+
+
+def naive_counts(x, y, most):
+    out = []
+    for n in range(1, most + 1):
+        u, v = (Counter(tuple(z[k : k + n]) for k in range(len(z) - n + 1)) for z in (x, y))
+        out.append([(u & v).total(), u.total(), v.total()])
+    return out
+
+
+@pytest.mark.parametrize("alphabet", [3, 40, 200_000])
+def test_clipped_counts_of_many_pairs(alphabet):
+    rng = np.random.default_rng(alphabet)
+    pairs = [(rng.integers(0, alphabet, int(rng.integers(0, 12))).tolist(), rng.integers(0, alphabet, int(rng.integers(0, 12))).tolist()) for _ in range(200)]
+    units = np.array([u for p in pairs for side in p for u in side], np.int64)
+    side = np.repeat(np.arange(400), [len(s) for p in pairs for s in p])
+    assert score.clipped(units, side, 200, 6).tolist() == [naive_counts(x, y, 6) for x, y in pairs]
+    assert score.clipped(units[:0], side[:0], 2, 3).tolist() == [[[0, 0, 0]] * 3] * 2
+
+
+def test_common_lengths_of_many_pairs(monkeypatch):
+    def naive(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            new = [0]
+            for j, b in enumerate(y):
+                new.append(row[j] + 1 if a == b else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng = np.random.default_rng(0)
+    many = [(rng.integers(0, 5, int(rng.integers(0, 20))), rng.integers(0, 5, int(rng.integers(0, 20)))) for _ in range(100)]
+    monkeypatch.setattr(score, "TOGETHER", 7)
+    assert score.common_lengths([a for a, _ in many], [b for _, b in many]).tolist() == [naive(a, b) for a, b in many]

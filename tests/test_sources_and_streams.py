@@ -181,3 +181,11 @@ def test_dry_runs_and_reports(spark, tmp_path):
     assert path.endswith("report_20240102_030405.json")
     report = files.read_report(str(tmp_path / "report.json"), str(tmp_path / "other_*.json"), str(tmp_path / "report_*.json"))
     assert [tuple(r) for r in files.report_rows(spark, report).collect()] == [("a", 1, None), ("b", None, 2.5)]
+
+
+def test_metric_batches_take_their_own_place(spark, tmp_path, rows):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.range(3).write.parquet(src)
+    for mark in ("one", "two"):  # a checkpoint that was lost makes the same batch come again
+        ingest.into_table(ingest.file_stream(spark, src, spark.range(0).schema), out, str(tmp_path / mark)).awaitTermination()
+    assert rows(spark.read.parquet(out).select("id")) == [(0,), (1,), (2,)]

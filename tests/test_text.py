@@ -57,3 +57,14 @@ def test_sizes_and_times(spark):
     assert one(spark, "2048", prompts.shown_size(F.col("t").cast("long"))) == "2.0 KB"
     assert one(spark, "3723", prompts.shown_time(F.col("t").cast("long"))) == "1h 02m 03s"
     assert one(spark, "59", prompts.shown_time(F.col("t").cast("long"))) == "59s"
+
+
+def test_templates_expand_nothing_in_values(spark):
+    from khata.functions import ids, prompts
+
+    df = spark.createDataFrame([("{b} x", "y")], "a STRING, b STRING")
+    row = df.select(prompts.filled("{a}|{b}|{c}", a="a", b="b").alias("one"), prompts.few_shot("{a}={b}", [{"a": "1", "b": "2"}], "\n", a="a", b="b").alias("two"), prompts.joined_pair("a", "b").alias("three")).first()
+    assert tuple(row) == ("{b} x|y|{c}", "1=2\n{b} x=y", "{b} x । y")
+    shards = spark.createDataFrame([(0, 0, 5), (1, 5, 5), (2, 5, 30)], "shard INT, start LONG, stop LONG")
+    got = ids.located(spark.range(31).withColumnRenamed("id", "at"), "at", shards, block=4).collect()
+    assert sorted((r["at"], r["shard"], r["row"]) for r in got) == [(k, 0, k) for k in range(5)] + [(k, 2, k - 5) for k in range(5, 30)]
