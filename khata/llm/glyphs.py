@@ -244,9 +244,9 @@ def same_looking_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     members = written(looks(docs, id_col, text_col), "looks")
     look, raw = ["look_hi", "look_lo"], ["raw_hi", "raw_lo"]
-    both = F.struct(*raw)
-    mixed = members.groupBy(*look).agg(F.min(both).alias("lo"), F.max(both).alias("hi")).where("lo != hi").select(*look)
-    members = members.join(mixed, look, "left_semi")
+    ends = [f(c).alias(f"{name}_{c}") for c in raw for name, f in (("min", F.min), ("max", F.max))]
+    mixed = members.groupBy(*look).agg(*ends).where("min_raw_hi != max_raw_hi OR min_raw_lo != max_raw_lo").select(*look)
+    members = written(members.join(mixed, look, "left_semi"), "mixed")  # what follows reads these few only
     classes = members.select(*look, *raw).distinct()
     a = classes.select(*look, F.col("raw_hi").alias("a_hi"), F.col("raw_lo").alias("a_lo"))
     b = classes.select(*look, F.col("raw_hi").alias("b_hi"), F.col("raw_lo").alias("b_lo"))
